@@ -34,7 +34,7 @@ from tabloom.operators.histtree import (
     uniform_draw,
 )
 from tabloom.operators.quantiles import number
-from tabloom.session import write_and_reread
+from tabloom.session import few_tasks, write_and_reread
 
 CURVE_SCHEMA = "iter int, split string, rmse double, r2 double"
 NODE_SCHEMA = "tree int, node int, feature int, bin int, left int, value double"
@@ -232,7 +232,7 @@ class Booster:
 
 def _keep(df: DataFrame, label: str) -> DataFrame:
     """Write the table out (so no executor loss costs more than a read) and keep it near."""
-    return write_and_reread(df, label).persist(StorageLevel.MEMORY_AND_DISK)
+    return few_tasks(write_and_reread(df, label)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _label_variance(table: DataFrame) -> dict[int, float]:

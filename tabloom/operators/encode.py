@@ -53,10 +53,15 @@ def category_codes(df: DataFrame, column: str, output: str | None = None) -> Dat
     level, code = f"__{output}_level", output
     levels = df.select(F.col(column).alias(level)).filter(F.col(level).isNotNull()).distinct()
     if levels.limit(SINGLE_TASK_LEVELS + 1).count() <= SINGLE_TASK_LEVELS:
-        coded = levels.withColumn(code, (F.row_number().over(Window.orderBy(level)) - 1).cast("int"))
+        coded = F.broadcast(levels.withColumn(code, (F.row_number().over(Window.orderBy(level)) - 1).cast("int")))
+        joined = df.join(coded, df[column] == coded[level], "left").drop(level)
     else:
         coded = _positions_by_range(levels, level, code)
-    joined = df.join(coded, df[column] == coded[level], "left").drop(level)
+        # Nulls match nothing, so they may go anywhere: spread them instead of sending all to one task.
+        spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string"))
+        key = F.coalesce(F.col(column).cast("string"), spread)
+        joined = df.withColumn("__key", key).join(coded, F.col("__key") == F.col(level).cast("string"), "left")
+        joined = joined.drop("__key", level)
     return joined.withColumn(code, F.coalesce(F.col(code), F.lit(-1)).cast("int"))
 
 

@@ -19,6 +19,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.moments import moment_table, population_deviation
 from tabloom.operators.profile import modes
 from tabloom.operators.quantiles import exact_quantiles, number
 from tabloom.roles import Roles
@@ -212,15 +213,13 @@ class StandardScale(Estimator, HasInputCols, HasOutputCols, _Stage):
 
     def _fit(self, df: DataFrame) -> ScaleColumns:
         columns = self.getInputCols()
-        aggregates = []
-        for c in columns:
-            aggregates += [F.avg(number(c)).alias(f"m:{c}"), F.stddev_pop(number(c)).alias(f"s:{c}")]
-        row = df.agg(*aggregates).first()
+        fits = moment_table(df, columns).withColumn("deviation", population_deviation()).collect()  # one per column
+        by_name = {row["column_name"]: row for row in fits}
         return ScaleColumns(
             inputCols=columns,
             outputCols=self.getOutputCols() if self.isSet(self.outputCols) else columns,
-            centers={c: row[f"m:{c}"] or 0.0 for c in columns},
-            scales={c: row[f"s:{c}"] or 1.0 for c in columns},
+            centers={c: by_name[c]["mean"] or 0.0 for c in columns},
+            scales={c: by_name[c]["deviation"] or 1.0 for c in columns},
         )
 
 

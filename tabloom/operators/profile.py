@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.functions.moments import sample_kurtosis, sample_skewness
-from tabloom.operators.quantiles import counted, exact_quantiles, number
+from tabloom.functions.moments import moment_table, sample_deviation, sample_kurtosis, sample_skewness
+from tabloom.operators.quantiles import exact_quantiles, number
+from tabloom.session import few_tasks
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -74,35 +75,25 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per column."""
-    aggregates: list[Column] = []
-    for c in columns:
-        x = number(c)
-        for name, e in (("n", F.count(x)), ("mean", F.avg(x)), ("std", F.stddev_samp(x)), ("min", F.min(x)),
-                        ("max", F.max(x))):
-            aggregates.append(e.alias(f"{name}:{c}"))
-    row = df.agg(*aggregates).first()
-    quartiles = exact_quantiles(df, {c: QUARTILES for c in columns}, {c: row[f"n:{c}"] for c in columns})
+    found = moment_table(df, columns).withColumn("std", sample_deviation()).collect()  # one row per column
+    by_name = {row["column_name"]: row for row in found}
+    quartiles = exact_quantiles(df, {c: QUARTILES for c in columns}, {c: by_name[c]["n"] for c in columns})
     rows = [
-        (c, row[f"n:{c}"], row[f"mean:{c}"], row[f"std:{c}"], row[f"min:{c}"], *quartiles[c], row[f"max:{c}"])
-        for c in columns
+        (c, row["n"], row["mean"], row["std"], row["min"], *quartiles[c], row["max"])
+        for c, row in ((c, by_name[c]) for c in columns)
     ]
     schema = "column_name string, n bigint, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
     return _table(df.sparkSession, rows, schema)
 
 
-def _per_column(df: DataFrame, columns: Sequence[str], name: str, statistic) -> DataFrame:
-    wide = df.agg(*[statistic(number(c)).alias(f"{name}:{c}") for c in columns])
-    return long_form(wide, columns, {name: "DOUBLE"})
-
-
 def skewness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Bias-corrected skewness per column."""
-    return _per_column(df, columns, "skewness", sample_skewness)
+    return moment_table(df, columns).select("column_name", sample_skewness().alias("skewness"))
 
 
 def kurtosis(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Bias-corrected excess kurtosis per column."""
-    return _per_column(df, columns, "kurtosis", sample_kurtosis)
+    return moment_table(df, columns).select("column_name", sample_kurtosis().alias("kurtosis"))
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
@@ -114,17 +105,19 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
 
 def center_and_spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean, median, deviation, skewness and kurtosis: the statistics of a target column."""
-    aggregates: list[Column] = []
-    for c in columns:
-        x = number(c)
-        for name, e in (("n", F.count(x)), ("mean", F.avg(x)), ("std", F.stddev_samp(x)),
-                        ("skewness", sample_skewness(x)), ("kurtosis", sample_kurtosis(x))):
-            aggregates.append(e.alias(f"{name}:{c}"))
-    row = df.agg(*aggregates).first()
-    medians = exact_quantiles(df, {c: [0.5] for c in columns}, {c: row[f"n:{c}"] for c in columns})
+    statistics = moment_table(df, columns).select(
+        "column_name",
+        "n",
+        "mean",
+        sample_deviation().alias("std"),
+        sample_skewness().alias("skewness"),
+        sample_kurtosis().alias("kurtosis"),
+    )
+    by_name = {row["column_name"]: row for row in statistics.collect()}  # one row per column
+    medians = exact_quantiles(df, {c: [0.5] for c in columns}, {c: by_name[c]["n"] for c in columns})
     rows = [
-        (c, row[f"mean:{c}"], medians[c][0], row[f"std:{c}"], row[f"skewness:{c}"], row[f"kurtosis:{c}"])
-        for c in columns
+        (c, row["mean"], medians[c][0], row["std"], row["skewness"], row["kurtosis"])
+        for c, row in ((c, by_name[c]) for c in columns)
     ]
     schema = "column_name string, mean double, median double, std double, skewness double, kurtosis double"
     return _table(df.sparkSession, rows, schema)
@@ -207,7 +200,7 @@ def pair_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
 
     schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    partial = df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(names)]).mapInArrow(fold, schema)
+    partial = few_tasks(df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(names)])).mapInArrow(fold, schema)
     return partial.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 
 

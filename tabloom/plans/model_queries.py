@@ -494,9 +494,8 @@ def _training_log(spark, d):
 def _early_stopping(spark, d):
     """A large step overshoots, so the watched error rises and training stops before its limit."""
     with reused(_feature_table(spark, d)) as df:
-        model = level_booster(["month_sold_code"], "label", trees=30, max_depth=1, learning_rate=1.9, patience=2).fit(
-            df.withColumn("month_sold_code", F.col("overall_quality")), F.col("is_holdout")
-        )
+        booster = level_booster(["overall_quality"], "label", trees=30, max_depth=1, learning_rate=1.9, patience=2)
+        model = booster.fit(df, F.col("is_holdout"))
     log = model.training_log(spark)
     return log.filter("split = 'validation'").agg(
         F.max("iter").alias("iterations_run"), F.lit(model.best_iteration).alias("best_iteration")

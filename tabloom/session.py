@@ -5,12 +5,26 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+# Fixed value: the JVM leaves methods above this many bytes of code to its interpreter.
+JIT_METHOD_BYTES = "8000"
+
 _local_folder: str | None = None
+_derived: dict[tuple[str, str, str], str] = {}
+
+
+def keep_methods_small(spark: SparkSession) -> None:
+    """Let wide projections fall back to many small generated methods.
+
+    A projection of dozens of expressions makes one method that the JVM never
+    compiles; split up, it runs several times faster.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_BYTES)
 
 
 def build_session(app_name: str = "tabloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,6 +38,7 @@ def build_session(app_name: str = "tabloom", master: str | None = None, **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_BYTES)
     )
     if master:
         builder = (
@@ -72,6 +87,25 @@ def write_and_reread(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """At most a few tasks per core, without a shuffle.
+
+    For operators whose tasks each emit one summary of fixed size: more tasks
+    would only mean more summaries to shuffle.
+    """
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def derive_once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``build`` gives for ``source``, written at the first call of an application and read from then on."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _derived:
+        path = shared_path(spark, name)
+        build().write.parquet(path)
+        _derived[key] = path
+    return spark.read.parquet(_derived[key])
+
+
 @contextmanager
 def reused(df: DataFrame):
     """Keep ``df`` for the passes of one operator, and let it go afterwards.

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabloom.session import derive_once, keep_methods_small
 from tabloom.sources.tables import read_table
 
 PROPERTY_SQL = """
@@ -67,12 +68,18 @@ FROM f
 
 
 def property_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 45-column property table over every order below ``sf_dir``."""
-    tables = {
-        "lineitem": read_table(spark, sf_dir, "lineitem"),
-        "orders": read_table(spark, sf_dir, "orders"),
-        "customer": read_table(spark, sf_dir, "customer"),
-    }
+    """The 45-column property table over every order below ``sf_dir``.
+
+    It is derived and written once per application; queries then read the
+    columns they need.
+    """
+    keep_methods_small(spark)
+    return derive_once(spark, "property", sf_dir, lambda: derived_property_table(spark, sf_dir))
+
+
+def derived_property_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan behind `property_table`."""
+    tables = {name: read_table(spark, sf_dir, name) for name in ("lineitem", "orders", "customer")}
     text = PROPERTY_SQL
     for name in tables:
         text = text.replace(f"FROM {name}", "FROM {" + name + "}").replace(f"JOIN {name}", "JOIN {" + name + "}")
