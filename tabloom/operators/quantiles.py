@@ -1,8 +1,9 @@
 """Exact quantiles with linear interpolation, at any table size.
 
-Spark's ``percentile`` is exact, but keeps every distinct value of a column in
-one task.  `exact_quantiles` uses it only while the values are few.  Above that
-it narrows down: a bounded sketch (``approx_percentile``) cuts each column into
+Spark's ``percentile`` is exact, but keeps every distinct value of all columns in
+one task.  Here each task counts its distinct values, the counts are merged by
+value, and a window per column finds the wanted ranks: fine while the values are
+few.  Above that `exact_quantiles` narrows down first: a bounded sketch (``approx_percentile``) cuts each column into
 about a thousand slices, one pass counts the values of every slice exactly, and
 only the slices that hold a wanted rank are looked at again.  Each round leaves
 about a thousandth of the values, so two or three rounds do for any table.
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from tabloom.session import few_tasks
 
-DIRECT_VALUES = 8_000_000  # values (rows x columns) that one exact aggregate may hold
+DIRECT_VALUES = 20_000_000  # values (rows x columns) that are put in order directly
+ROWS_COUNTED_AT_ONCE = 200_000
 SLICES = 1000
 SKETCH_ACCURACY = 10_000
 
@@ -59,18 +61,11 @@ def exact_quantiles(
         return {}
     if counts is None:
         counts = counted(df, list(wanted))
-    if sum(counts[c] for c in wanted) <= direct_values:
-        return _direct(df, wanted)
     ranks = {c: {r for p in ps for r in _ranks(p, counts[c])} for c, ps in wanted.items()}
     found = order_statistics(df, ranks, counts, direct_values, slices)
     return {c: [_interpolate(found, c, p, counts[c]) for p in ps] for c, ps in wanted.items()}
 
 
-def _direct(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
-    row = df.agg(*[F.percentile(number(c), list(ps)).alias(c) for c, ps in wanted.items()]).first()
-    return {c: list(row[c]) if row[c] is not None else [None] * len(ps) for c, ps in wanted.items()}
-
-
 def _ranks(p: float, n: int) -> set[int]:
     if n == 0:
         return set()
@@ -129,19 +124,39 @@ def order_statistics(
     return found
 
 
-def _values(df: DataFrame, parts: Sequence[_Slice]) -> DataFrame:
-    """(k, value): the values of the k-th slice."""
+def _values(df: DataFrame, parts: Sequence[_Slice], distinct: bool = False) -> DataFrame:
+    """(k, value, n): the values of the k-th slice, one row each with n = 1.
+
+    With ``distinct``, a task counts equal values over a few batches and emits
+    them once.
+    """
     columns = sorted({s.column for s in parts})
     at = {c: i for i, c in enumerate(columns)}
 
     def emit(batches):
+        waiting, rows = [], 0
         for batch in batches:
-            x = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))]
-            picked = [s.pick(x[at[s.column]]) for s in parts]
-            k = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in picked])
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.concatenate(picked))], names=["k", "value"])
-
-    return df.select(*[number(c).alias(c) for c in columns]).mapInArrow(emit, "k int, value double")
+            waiting.append(batch)
+            rows += batch.num_rows
+            if not distinct or rows >= ROWS_COUNTED_AT_ONCE:
+                yield pick(waiting)
+                waiting, rows = [], 0
+        if waiting:
+            yield pick(waiting)
+
+    def pick(batches):
+        x = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in batches]) for i in range(len(columns))]
+        values = [s.pick(x[at[s.column]]) for s in parts]
+        if distinct:
+            pairs = [np.unique(v, return_counts=True) for v in values]
+        else:
+            pairs = [(v, np.ones(len(v), dtype=np.int64)) for v in values]
+        k = np.repeat(np.arange(len(parts), dtype=np.int32), [len(v) for v, _ in pairs])
+        value, n = (np.concatenate(list(c)) for c in zip(*pairs, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(value), pa.array(n)], names=["k", "value", "n"])
+
+    numbers = df.select(*[number(c).alias(c) for c in columns])
+    return numbers.mapInArrow(emit, "k int, value double, n bigint")
 
 
 def _cut(df: DataFrame, parts: Sequence[_Slice], slices: int, found: dict) -> list[_Slice]:
@@ -204,7 +219,7 @@ def _read_off(df: DataFrame, parts: Sequence[_Slice], found: dict) -> None:
     wanted = [(k, int(r), int(r - s.below)) for k, s in enumerate(parts) for r in s.ranks]
     targets = df.sparkSession.createDataFrame(wanted, "k int, rank bigint, position bigint")
     running = Window.partitionBy("k").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = _values(df, parts).groupBy("k", "value").agg(F.count(F.lit(1)).alias("n"))
+    ordered = _values(df, parts, distinct=True).groupBy("k", "value").agg(F.sum("n").alias("n"))
     ordered = ordered.withColumn("upto", F.sum("n").over(running))
     hit = (F.col("position") < F.col("upto")) & (F.col("position") >= F.col("upto") - F.col("n"))
     for row in ordered.join(F.broadcast(targets), "k").filter(hit).select("k", "rank", "value").collect():

@@ -112,6 +112,13 @@ def _ridge_scores(spark, d):
     return _back(model.transform(_one_feature(spark, d)))
 
 
+def _ridge_log_scores(spark, d):
+    """The holdout rows on the log scale."""
+    with reused(_one_feature(spark, d)) as df:
+        model = LINEAR["Ridge"]().fit(df.filter(~F.col("is_holdout")))
+    return model.transform(_one_feature(spark, d).filter("is_holdout"))
+
+
 RIDGE_CTES = (DATA_CTE, STATS_CTE, _model_cte("Ridge"), SCORED_CTE)
 SQL_METRICS = (
     "COUNT(*) AS n, round(AVG((target - prediction) * (target - prediction)) / 1e6, 6) AS mse_1e6, "
@@ -485,6 +492,53 @@ def _first_level_sql() -> str:
     )
 
 
+STUMP_RATE = 0.5
+
+
+def _stump_rounds(spark, d):
+    """Two boosting rounds of one-split trees on two features."""
+    columns = [STUMP_COLUMN, "month_sold"]
+    df = property_table(spark, d).select("row_id", "target", *columns)
+    booster = level_booster(columns, "target", trees=2, max_depth=1, learning_rate=STUMP_RATE, max_bins=64)
+    with reused(df) as kept:
+        model = booster.fit(kept, in_holdout())
+    return model.transform(df).select("row_id", F.round("prediction", 2).alias("prediction"))
+
+
+def _stump_rounds_sql() -> str:
+    def best_split(k, source):
+        """The split with the largest gain over gradients r = prediction - target of the training rows."""
+        sides = union_all(
+            [
+                f"SELECT {i} AS f, CAST({c} AS DOUBLE) AS cut, SUM(SUM(r)) OVER (ORDER BY {c}) AS gl, "
+                f"SUM(COUNT(*)) OVER (ORDER BY {c}) AS nl FROM {source} WHERE NOT h GROUP BY {c}"
+                for i, c in enumerate((STUMP_COLUMN, "month_sold"))
+            ]
+        )
+        return (
+            f"b{k} AS (SELECT f, cut, -gl / (nl + 1) * {STUMP_RATE} AS vl, -(g - gl) / (n - nl + 1) * {STUMP_RATE} "
+            f"AS vr FROM ({sides}) s, (SELECT SUM(r) AS g, COUNT(*) AS n FROM {source} WHERE NOT h) t WHERE nl < n "
+            "ORDER BY gl * gl / (nl + 1) + (g - gl) * (g - gl) / (n - nl + 1) DESC, f, cut LIMIT 1)"
+        )
+
+    value = f"CASE WHEN (CASE WHEN f = 0 THEN {STUMP_COLUMN} ELSE month_sold END) <= cut THEN vl ELSE vr END"
+    base = (
+        f"r0 AS (SELECT row_id, target, {STUMP_COLUMN}, month_sold, {HOLDOUT_SQL} AS h, m AS p, m - target AS r "
+        f"FROM prop, (SELECT AVG(target) AS m FROM prop WHERE NOT {HOLDOUT_SQL}) a)"
+    )
+    step = (
+        f"r1 AS (SELECT row_id, target, {STUMP_COLUMN}, month_sold, h, p + {value} AS p, p + {value} - target AS r "
+        "FROM r0, b1)"
+    )
+    return with_property(
+        f"SELECT row_id, round(p + {value}, 2) AS prediction FROM r1, b2",
+        base,
+        best_split(1, "r0"),
+        step,
+        best_split(2, "r1"),
+    )
+
+
 def _training_log(spark, d):
     with reused(_feature_table(spark, d)) as df:
         model = level_booster(FEATURES, "label", **SMALL).fit(df, F.col("is_holdout"))
@@ -595,6 +649,7 @@ def register(catalog: Catalog) -> None:
     add("M8_adaboost_r2", _adaboost)
     add("M9_gaussian_process", _gaussian_scores)
     add("M10_gbt_xgb", _boosted(level_booster, **SMALL, l1=0.1, l2=2.0, min_gain=0.01, row_share=0.8))
+    add("M10_stump_rounds", _stump_rounds, _stump_rounds_sql())
     add("M11_gbt_lgbm", _boosted(leaf_booster, trees=4, learning_rate=0.3, max_leaves=8))
     add("M12_gbt_cat", _category_boosted)
     add("M13_hist_boost", _first_level, _first_level_sql())
@@ -632,6 +687,29 @@ def register(catalog: Catalog) -> None:
         ),
         with_property(f"SELECT {SQL_METRICS} FROM sc WHERE h", *RIDGE_CTES),
     )
+    log_metrics = "avg((y - p) * (y - p))"
+    add(
+        "V4_mse",
+        lambda spark, d: regression_metrics(_ridge_log_scores(spark, d), "label", "prediction").select(
+            "n", F.round("mse", 8).alias("mse_log"), F.round("rmse", 8).alias("rmse_log")
+        ),
+        with_property(
+            f"SELECT COUNT(*) AS n, round({log_metrics}, 8) AS mse_log, round(sqrt({log_metrics}), 8) AS rmse_log "
+            "FROM sc WHERE h",
+            *RIDGE_CTES,
+        ),
+    )
+    add(
+        "V5_r2",
+        lambda spark, d: regression_metrics(_ridge_log_scores(spark, d), "label", "prediction").select(
+            "n", F.round("r2", 8).alias("r2_log")
+        ),
+        with_property(
+            "SELECT COUNT(*) AS n, round(1 - SUM((y - p) * (y - p)) / (COUNT(*) * var_pop(y)), 8) AS r2_log "
+            "FROM sc WHERE h",
+            *RIDGE_CTES,
+        ),
+    )
     add(
         "V6_train_vs_val",
         lambda spark, d: _metric_columns(

@@ -102,6 +102,11 @@ def derive_once(spark: SparkSession, name: str, source: str, build: Callable[[],
     if key not in _derived:
         path = shared_path(spark, name)
         build().write.parquet(path)
+        written = spark.read.parquet(path)
+        cores = spark.sparkContext.defaultParallelism
+        if written.rdd.getNumPartitions() < cores:  # small enough for a rewrite that gives every core a part
+            path = shared_path(spark, name)
+            written.repartition(cores).write.parquet(path)
         _derived[key] = path
     return spark.read.parquet(_derived[key])
 
