@@ -336,22 +336,12 @@ def best_per_node(candidates: DataFrame) -> list[Split]:
 
 def best_for_level(candidates: DataFrame) -> list[Split]:
     """The one (feature, bin) with the largest total gain over all nodes, as a split of each node."""
-    fit = candidates.filter("node < 0").select(
-        F.lit(None).cast("double").alias("total"),
-        F.array(F.struct("node", *_SPLIT_FIELDS)).alias("nodes"),
-        "feature",
-        "bin",
-        F.col("node").alias("group"),
-    )
-    totals = (
-        candidates.filter("node >= 0")
-        .groupBy("feature", "bin")
-        .agg(F.sum("gain").alias("total"), F.collect_list(F.struct("node", *_SPLIT_FIELDS)).alias("nodes"))
-        .withColumn("group", F.lit(0))
-        .select("total", "nodes", "feature", "bin", "group")
+    group = F.when(F.col("node") < 0, F.col("node")).otherwise(0).alias("group")
+    totals = candidates.groupBy(group, "feature", "bin").agg(
+        F.sum("gain").alias("total"), F.collect_list(F.struct("node", *_SPLIT_FIELDS)).alias("nodes")
     )
     order = F.struct("total", (-F.col("feature")).alias("a"), (-F.col("bin")).alias("b"))
-    best = totals.unionByName(fit).groupBy("group").agg(F.max_by(F.struct("total", "nodes"), order).alias("s"))
+    best = totals.groupBy("group").agg(F.max_by(F.struct("total", "nodes"), order).alias("s"))
     found = []
     for row in best.collect():
         for s in row["s"]["nodes"]:
