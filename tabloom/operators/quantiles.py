@@ -162,10 +162,17 @@ def _values(df: DataFrame, parts: Sequence[_Slice], distinct: bool = False) -> D
 def _cut(df: DataFrame, parts: Sequence[_Slice], slices: int, found: dict) -> list[_Slice]:
     """The narrower slices that hold the wanted ranks; ranks that hit a slice end are answered."""
     grid = [i / slices for i in range(1, slices)]
-    sketch = F.approx_percentile("value", grid, max(SKETCH_ACCURACY, 2 * slices)).alias("ends")
-    ends = [np.empty(0)] * len(parts)
-    for row in _values(df, parts).groupBy("k").agg(sketch).collect():  # one row per slice
-        ends[row["k"]] = np.unique(row["ends"])
+    accuracy = max(SKETCH_ACCURACY, 2 * slices)
+    if all(s.low is None and s.high is None for s in parts):  # whole columns: no need to leave the JVM
+        row = df.agg(
+            *[F.approx_percentile(number(s.column), grid, accuracy).alias(f"e{k}") for k, s in enumerate(parts)]
+        ).first()
+        ends = [np.unique(row[f"e{k}"]) for k in range(len(parts))]
+    else:
+        ends = [np.empty(0)] * len(parts)
+        sketch = F.approx_percentile("value", grid, accuracy).alias("ends")
+        for row in _values(df, parts).groupBy("k").agg(sketch).collect():  # one row per slice
+            ends[row["k"]] = np.unique(row["ends"])
     sizes = _slot_counts(df, parts, ends)
     narrower = []
     for k, s in enumerate(parts):

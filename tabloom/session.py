@@ -18,12 +18,14 @@ _local_folder: str | None = None
 _derived: dict[tuple[str, str, str], str] = {}
 
 
-def keep_methods_small(spark: SparkSession) -> None:
-    """Let wide projections fall back to many small generated methods.
+def tune_session(spark: SparkSession) -> None:
+    """Settings that a session made elsewhere may lack.
 
-    A projection of dozens of expressions makes one method that the JVM never
-    compiles; split up, it runs several times faster.
+    Times are read as UTC.  Wide projections fall back to many small generated
+    methods: one method with dozens of expressions is never compiled by the
+    JVM, and runs several times slower.
     """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_BYTES)
 
 
@@ -62,6 +64,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = folder or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):

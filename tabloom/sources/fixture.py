@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.session import derive_once, keep_methods_small
+from tabloom.session import derive_once, tune_session
 from tabloom.sources.tables import read_table
 
 PROPERTY_SQL = """
@@ -73,7 +73,7 @@ def property_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     It is derived and written once per application; queries then read the
     columns they need.
     """
-    keep_methods_small(spark)
+    tune_session(spark)
     return derive_once(spark, "property", sf_dir, lambda: derived_property_table(spark, sf_dir))
 
 
