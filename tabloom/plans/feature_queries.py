@@ -95,8 +95,9 @@ def _set_sql(name: str) -> str:
 def register(catalog: Catalog) -> None:
     add = catalog.add
 
-    def expressions(*columns):
-        return lambda spark, d: property_table(spark, d).select("row_id", *columns)
+    def expressions(columns):
+        """Columns are built when the query runs: names are listed without a session."""
+        return lambda spark, d: property_table(spark, d).select("row_id", *columns())
 
     c = F.col
     add(
@@ -118,36 +119,30 @@ def register(catalog: Catalog) -> None:
     )
     add(
         "F3_safe_ratio",
-        expressions(scalar.safe_ratio(c("usable_area"), c("total_rooms")).alias("ratio")),
+        expressions(lambda: [scalar.safe_ratio(c("usable_area"), c("total_rooms")).alias("ratio")]),
         with_property(f"SELECT row_id, usable_area / {ROOMS} AS ratio FROM prop"),
     )
     add(
         "F4_presence_flag",
-        expressions(
-            scalar.positive_flag(c("basement_area")).alias("positive"),
-            scalar.present_flag(c("basement_type2")).alias("present"),
-        ),
+        expressions(lambda: [scalar.positive_flag(c("basement_area")).alias("positive"),
+            scalar.present_flag(c("basement_type2")).alias("present")]),
         with_property(
             f"SELECT row_id, {BASEMENT} AS positive, {_flag('basement_type2 IS NOT NULL')} AS present FROM prop"
         ),
     )
     add(
         "F5_flag_or",
-        expressions(
-            scalar.any_flag(
+        expressions(lambda: [scalar.any_flag(
                 *[scalar.positive_flag(c(n)) for n in ("pool_area", "terrace_area", "basement_area", "extra_value")]
-            ).alias("any_flag")
-        ),
+            ).alias("any_flag")]),
         with_property(
             f"SELECT row_id, greatest({POOL}, {TERRACE}, {BASEMENT}, {EXTRA}) AS any_flag FROM prop"
         ),
     )
     add(
         "F6_not_equal_flag",
-        expressions(
-            scalar.differs_flag(c("fence"), "None").alias("fenced"),
-            scalar.differs_flag(c("fence"), "MnPrv").alias("other_fence"),
-        ),
+        expressions(lambda: [scalar.differs_flag(c("fence"), "None").alias("fenced"),
+            scalar.differs_flag(c("fence"), "MnPrv").alias("other_fence")]),
         with_property(
             f"SELECT row_id, {FENCED} AS fenced, {_flag('fence IS DISTINCT FROM ' + chr(39) + 'MnPrv' + chr(39))} "
             "AS other_fence FROM prop"
@@ -155,14 +150,12 @@ def register(catalog: Catalog) -> None:
     )
     add(
         "F7_season",
-        expressions(scalar.season(c("month_sold")).alias("season")),
+        expressions(lambda: [scalar.season(c("month_sold")).alias("season")]),
         with_property("SELECT row_id, (month_sold - 1) // 3 AS season FROM prop"),
     )
     add(
         "F8_sum_then_fill",
-        expressions(
-            scalar.sum_or_zero(c("terrace_area"), c("open_veranda_area"), c("screen_porch_area")).alias("total")
-        ),
+        expressions(lambda: [scalar.sum_or_zero(c("terrace_area"), c("open_veranda_area"), c("screen_porch_area")).alias("total")]),
         with_property(
             "SELECT row_id, COALESCE(terrace_area + open_veranda_area + screen_porch_area, 0) AS total FROM prop"
         ),
