@@ -171,5 +171,5 @@ def register(catalog: Catalog) -> None:
         add(
             key,
             lambda spark, d, build=FEATURE_SETS[name]: build().apply(property_table(spark, d)),
-            _set_sql(name),
+            lambda name=name: _set_sql(name),
         )

@@ -40,9 +40,10 @@ HOLDOUT_SQL = f"({HASH_SQL} % 10000 < 2000)"
 @dataclass
 class Catalog:
     runs: dict[str, Query] = field(default_factory=dict)
-    checks: dict[str, str] = field(default_factory=dict)
+    checks: dict[str, str | Callable[[], str]] = field(default_factory=dict)
 
-    def add(self, name: str, run: Query, sql: str | None = None) -> None:
+    def add(self, name: str, run: Query, sql: str | Callable[[], str] | None = None) -> None:
+        """``sql`` may be a function where its text needs a session to be made."""
         if name in self.runs:
             raise ValueError(f"{name} is registered twice")
         self.runs[name] = run
