@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tabloom.llm import line_dedup, quality, quality_sql
+from pyspark.sql import functions as F
+
+from tabloom.llm import line_dedup, packing, pii, quality, quality_sql, secrets, spans, url_filter
 from tabloom.llm.text import read_table, sha256_of, whole_text
 from tabloom.plans.registry import Catalog
 
@@ -28,6 +30,63 @@ FROM judged GROUP BY doc_id
 """
 
 
+RULES = (
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+)
+# The listed names; a host with one of them as a label is listed.
+LISTED = ("ads-track", "adult-x", "cheap-pills", "free-bets", "spam-farm")
+LISTED_HOST = r"(^|\.)(" + "|".join(LISTED) + r"|casino[a-z0-9-]*)(\.|$)"
+
+
+def url_query(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    return url_filter.url_verdicts(pages, RULES, F.col("host").rlike(LISTED_HOST))
+
+
+URL_SQL = rf"""
+WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+rules(verdict, h, p) AS (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)}),
+fit AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM parts, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '{LISTED_HOST}') THEN 'block' ELSE 'allow' END) AS verdict,
+  regexp_matches(host, '{LISTED_HOST}') AS listed
+FROM parts LEFT JOIN fit USING (page_id)
+"""
+
+
+def secret_query(spark, sf_dir):
+    found = secrets.secret_spans(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[spans.count_of(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS[:3])],
+        sha256_of(spans.joined(F.col("base"), secrets.KINDS, by_start=True)).alias("base_sha256"),
+        spans.joined(F.col("spans"), secrets.KINDS, by_start=True).alias("spans"),
+    )
+
+
+def pii_query(spark, sf_dir):
+    found = pii.pii_spans(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[spans.count_of(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        sha256_of(spans.joined(F.col("base"), pii.KINDS, by_start=False)).alias("base_sha256"),
+        spans.joined(F.col("spans"), pii.KINDS, by_start=False).alias("spans"),
+    )
+
+
+def packing_query(spark, sf_dir):
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def register(catalog: Catalog) -> None:
+    catalog.add("op1_pii", pii_query)
+    catalog.add("op3_packing", packing_query)
     catalog.add("op4_line_dedup", line_query, LINE_SQL)
+    catalog.add("op6_url_filter", url_query, URL_SQL)
     catalog.add("op7_quality_rules", quality_query, quality_sql.quality_sql())
+    catalog.add("op8_secret_scan", secret_query)

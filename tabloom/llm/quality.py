@@ -33,7 +33,7 @@ WINDOW = 5
 KEPT_SHARE = 0.75
 STEPS = 4
 PRIOR_ROWS = 50
-CUTOFF = 60.0  # squared distance; about the 1 - 4e-11 quantile of chi-squared with six degrees
+CUTOFF = 40.0  # squared distance; about the 1 - 4.6e-7 quantile of chi-squared with six degrees
 CLASSES_PER_E = 64  # distance classes per factor e
 SALTS = 16
 
@@ -41,7 +41,7 @@ SALTS = 16
 STATISTICS = (
     ("words", "ln(1.0D + n_words)", 0.8),
     ("word_length", "ln(1.0D + word_chars / n_some)", 0.12),
-    ("symbols", "sqrt(n_symbols / chars_some)", 0.08),
+    ("symbols", "sqrt(n_symbols / chars_some)", 0.045),
     ("capitals", "sqrt(n_capitals / chars_some)", 0.08),
     ("dup_lines", "sqrt(n_dup_lines / lines_some)", 0.15),
     ("repeats", "sqrt(n_repeat_words / n_some)", 0.15),
