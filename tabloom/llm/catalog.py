@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.llm import line_dedup, packing, pii, quality, quality_sql, secrets, spans, url_filter
+from tabloom.llm import decontaminate, line_dedup, packing, pii, quality, quality_sql, secrets, spans, url_filter
 from tabloom.llm.text import read_table, sha256_of, whole_text
 from tabloom.plans.registry import Catalog
 
@@ -83,6 +83,10 @@ def packing_query(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def leak_query(spark, sf_dir):
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def register(catalog: Catalog) -> None:
     catalog.add("op1_pii", pii_query)
     catalog.add("op3_packing", packing_query)
@@ -90,3 +94,4 @@ def register(catalog: Catalog) -> None:
     catalog.add("op6_url_filter", url_query, URL_SQL)
     catalog.add("op7_quality_rules", quality_query, quality_sql.quality_sql())
     catalog.add("op8_secret_scan", secret_query)
+    catalog.add("op10_decontamination", leak_query)

@@ -67,6 +67,7 @@ _total = sum(LETTERS)
 ORDINARY = {c: 0.88 * n / _total for c, n in zip(LOWER, LETTERS)}
 ORDINARY |= {c: 0.05 * n / _total for c, n in zip(UPPER, LETTERS)}
 ORDINARY |= {c: 0.05 / 10 for c in DIGITS} | {c: 0.02 / 5 for c in "+/_-="}
+SHOUTED = {c.swapcase(): p for c, p in ORDINARY.items()}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -119,8 +120,8 @@ def uniform_p(token: str, alphabet: str) -> float:
 
 
 def ordinary_p(token: str, alphabet: str) -> float:
-    """Log10 of the bound of the p-value for ordinary text."""
-    ratio = sum(math.log10(1 / len(alphabet) / ORDINARY[c]) for c in token)
+    """Log10 of the bound of the p-value for ordinary text, in lower or upper case."""
+    ratio = min(sum(math.log10(1 / len(alphabet) / model[c]) for c in token) for model in (ORDINARY, SHOUTED))
     return -max(0.0, ratio)
 
 
