@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, line_dedup, packing, pii, quality, quality_sql, secrets, spans, url_filter
+from tabloom.llm import decontaminate, line_dedup, near_dup, packing, pii, quality, quality_sql, secrets, spans, url_filter
 from tabloom.llm.text import read_table, sha256_of, whole_text
 from tabloom.plans.registry import Catalog
 
@@ -87,8 +87,28 @@ def leak_query(spark, sf_dir):
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def near_dup_query(spark, sf_dir):
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+NEAR_DUP_SQL = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS MATERIALIZED (SELECT DISTINCT doc_id, hash(g) AS g FROM (
+  SELECT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM words WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 4)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS MATERIALIZED (SELECT i.a, i.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) i
+  JOIN sizes s ON s.doc_id = i.a JOIN sizes t ON t.doc_id = i.b WHERE 100 * c >= 85 * (s.n + t.n - c)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(b), w.doc_id)) AS component_id,
+  w.doc_id <= coalesce(min(b), w.doc_id) AS kept
+FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
+"""
+
+
 def register(catalog: Catalog) -> None:
     catalog.add("op1_pii", pii_query)
+    catalog.add("op2_near_dup", near_dup_query, NEAR_DUP_SQL)
     catalog.add("op3_packing", packing_query)
     catalog.add("op4_line_dedup", line_query, LINE_SQL)
     catalog.add("op6_url_filter", url_query, URL_SQL)
