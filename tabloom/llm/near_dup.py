@@ -373,3 +373,13 @@ def _grown(links: DataFrame, roots: DataFrame, pairs: DataFrame, reps: DataFrame
         return links, roots
     links = links.union(fresh)
     return links, components(links)
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the row of its smallest doc_id.
+
+    Of rows repeated under one doc_id one stays; rows without doc_id all stay.
+    """
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    some = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    return some.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
