@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, line_dedup, near_dup, packing, pii, quality, quality_sql, secrets, spans, url_filter
+from tabloom.llm import decontaminate, line_dedup, near_dup, packing, pii, quality, quality_sql, secrets, spans, token_files, url_filter
 from tabloom.llm.text import read_table, sha256_of, whole_text
 from tabloom.plans.registry import Catalog
+from tabloom.session import shared_path
 
 
 def quality_query(spark, sf_dir):
@@ -106,6 +107,14 @@ FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_i
 """
 
 
+def token_query(spark, sf_dir):
+    import public_tokenizers
+
+    path = shared_path(spark, "token-files")
+    token_files.write_token_files(read_table(spark, sf_dir, "documents"), path, str(public_tokenizers.path("word_bpe_49k.json")))
+    return token_files.with_checksums(token_files.read_token_files(spark, path))
+
+
 def register(catalog: Catalog) -> None:
     catalog.add("op1_pii", pii_query)
     catalog.add("op2_near_dup", near_dup_query, NEAR_DUP_SQL)
@@ -115,3 +124,5 @@ def register(catalog: Catalog) -> None:
     catalog.add("op7_quality_rules", quality_query, quality_sql.quality_sql())
     catalog.add("op8_secret_scan", secret_query)
     catalog.add("op10_decontamination", leak_query)
+    catalog.add("op9_token_files", token_query)
+    catalog.add("op10_decontamination", leak_query)
