@@ -123,6 +123,5 @@ def register(catalog: Catalog) -> None:
     catalog.add("op6_url_filter", url_query, URL_SQL)
     catalog.add("op7_quality_rules", quality_query, quality_sql.quality_sql())
     catalog.add("op8_secret_scan", secret_query)
-    catalog.add("op10_decontamination", leak_query)
     catalog.add("op9_token_files", token_query)
     catalog.add("op10_decontamination", leak_query)
