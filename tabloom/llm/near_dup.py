@@ -7,17 +7,17 @@ by fours: documents that share a band are candidates.  At a similarity of 0.85
 a pair misses all 32 bands with a probability below 1e-10.
 
 Equal sets are one class, and only its smallest doc_id goes on.  In a band a
-candidate is compared with a member that a hash of the band elects, so a band
-of any size gives one pair per member, and a group of copies meets other
-elected members in its other bands.  Pairs first pass the estimate from
+candidate is compared with two elected members, the one that is central and one
+chosen by a hash, so a band of any size gives two pairs per member at most.  Pairs first pass the estimate from
 registers, corrected for chance collisions, then are verified on full sets;
 verified links are contracted to components.
 
 Election leaves links unseen inside a band.  They matter only between members
-that are not yet in one component.  Bands that still hold more than one
-component are therefore looked at again: up to ``SMALL_BAND`` members all pairs
-between components are compared, and a larger band is refined by every other
-band of its members and treated like a band again, until nothing is left.
+that are not yet in one component.  In bands that still hold several
+components, the members outside the largest one are therefore compared with all
+members of other components.  Where that would be more than ``BAND_WORK`` pairs
+in one band, the band is refined by every other band of its members, and the
+finer bands are treated like bands again, until nothing is left.
 
 Nothing about all documents passes through the driver: it sees counts.
 """
@@ -42,8 +42,10 @@ BAND = 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // BAND
 EMPTY = 0xFFFF
-SMALL_BAND = 48
+BAND_WORK = 4_000_000
 DEVIATIONS = 5.0
+# differing sign bits of a pair at the similarity: half of the differing registers, and five deviations
+SIGN_LIMIT = 25
 PIECE_CHARS = 4 << 20
 # Odd multipliers that mix 64-bit hashes.
 MIX_A, MIX_B, STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
@@ -131,6 +133,14 @@ def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, (grouped != EMPTY).any(axis=2)
 
 
+def sign_bits(regs: np.ndarray) -> np.ndarray:
+    """A bit per register, as two 64-bit words: a quick bound of how many registers differ."""
+    x = regs.astype(np.uint64)
+    bits = (mixed(x + np.uint64(STEP)) & np.uint64(1)).astype(np.uint8)
+    bits[regs == EMPTY] = 0
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def _pieces(batch: pa.RecordBatch, column: int):
     """Slices of a batch of a bounded number of characters, but at least a row."""
     ends = np.cumsum(pc.utf8_length(batch.column(column)).to_numpy())
@@ -141,7 +151,7 @@ def _pieces(batch: pa.RecordBatch, column: int):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, da and db (128 bits of the set) and registers of each row."""
+    """doc_id, n_shingles, da and db (128 bits of the set), sign bits and registers of each row."""
 
     def sign(batches):
         for batch in batches:
@@ -150,19 +160,22 @@ def signatures(docs: DataFrame) -> DataFrame:
                 regs = registers(values, begin)
                 digests = [xxhash.xxh3_128_digest(values[i:j].tobytes()) for i, j in zip(begin, begin[1:])]
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                signs = sign_bits(regs)
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0),
                         pa.array(np.diff(begin), pa.int64()),
                         pa.array(halves[:, 0]),
                         pa.array(halves[:, 1]),
+                        pa.array(signs[:, 0]),
+                        pa.array(signs[:, 1]),
                         pa.array([r.tobytes() for r in regs], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "da", "db", "regs"],
+                    ["doc_id", "n_shingles", "da", "db", "sa", "sb", "regs"],
                 )
 
     rows = picked(docs, "doc_id", "text").select("doc_id", whole_text().alias("text"))
-    return rows.mapInArrow(sign, f"doc_id {kind_of(docs)}, n_shingles long, da long, db long, regs binary")
+    return rows.mapInArrow(sign, f"doc_id {kind_of(docs)}, n_shingles long, da long, db long, sa long, sb long, regs binary")
 
 
 def kind_of(docs: DataFrame) -> str:
@@ -204,17 +217,26 @@ def matched(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
 
 
 def shared_bands(rows: DataFrame) -> DataFrame:
-    """The rows (key, rep) of keys with several reps, with the elected rep and the number of reps."""
-    elected = (
-        rows.groupBy("key")
-        .agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("head"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
+    """The rows (key, rep) of keys with several reps, with two elected reps and the number of reps.
+
+    ``head`` is the rep whose bands hold most reps in all: in a group of copies
+    that differ from one document more than their distance to it, that is this
+    document.  ``other`` is elected by a hash, and is another one in each band.
+    """
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = write_and_reread(matched(rows, counted, "key"), "dedup-several")
+    fame = several.groupBy("rep").agg(F.sum("n").alias("fame"))
+    ranked = matched(several, fame, "rep")
+    elected = ranked.groupBy("key").agg(
+        F.max_by("rep", F.col("fame") * 1024 + F.pmod(F.xxhash64("rep"), F.lit(1024))).alias("head"),
+        F.min_by("rep", F.xxhash64("key", "rep")).alias("other"),
     )
-    return matched(rows, elected, "key")
+    return matched(several, elected, "key")
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:
-    return shared.where("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
+    pairs = shared.select("rep", F.explode(F.array("head", "other")).alias("to")).where("rep <> to")
+    return pairs.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
 
 
 def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -314,10 +336,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null and they are kept.  An empty table gives an empty result.
     """
     signed = write_and_reread(signatures(docs), "dedup-signatures")
-    ids = signed.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", "da", "db", "regs")
+    ids = signed.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", "da", "db", "sa", "sb", "regs")
     worded = ids.where("n_shingles > 0")
     classes = write_and_reread(worded.groupBy("da", "db").agg(F.min("doc_id").alias("rep")), "dedup-classes")
-    own = matched(worded, classes, "da", "db").select("doc_id", "rep", "n_shingles", "regs")
+    own = matched(worded, classes, "da", "db").select("doc_id", "rep", "n_shingles", "sa", "sb", "regs")
     reps = write_and_reread(own.where("doc_id = rep").drop("doc_id").dropDuplicates(["rep"]), "dedup-reps")
     texts = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("rep"), whole_text().alias("text"))
     roots = link_classes(reps, texts)
@@ -341,28 +363,54 @@ def link_classes(reps: DataFrame, texts: DataFrame) -> DataFrame:
         shared = write_and_reread(shared_bands(rows), "dedup-bands")
         tried = write_and_reread(star_pairs(shared), "dedup-pairs")
         links, roots = _grown(links, roots, tried, reps, texts)
-        # bands with several components: any pair between them may be a link
-        split = _labelled(shared, roots)
-        mixed_bands = split.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        open_rows = write_and_reread(matched(split, mixed_bands, "key").select("key", "rep", "root", "head", "n"), "dedup-open")
-        small = open_rows.where(F.col("n") <= SMALL_BAND)
-        other = small.select("key", F.col("rep").alias("rep2"), F.col("root").alias("root2"))
-        cross = (
-            small.join(other, "key")
-            .where("rep < rep2 AND root <> root2 AND rep <> head AND rep2 <> head")  # pairs with the head are done
-            .select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-            .distinct()
-        )
-        cross = write_and_reread(cross.join(tried, ["a", "b"], "left_anti"), "dedup-pairs")
+        open_rows = write_and_reread(_open_bands(shared, roots), "dedup-open")
+        near = open_rows.where(F.col("work") <= BAND_WORK)
+        cross = write_and_reread(_cross_pairs(near, reps).join(tried, ["a", "b"], "left_anti"), "dedup-pairs")
         links, roots = _grown(links, roots, cross, reps, texts)
-        large = open_rows.where(F.col("n") > SMALL_BAND).select("key", "rep")
+        large = open_rows.where(F.col("work") > BAND_WORK).select("key", "rep")
         if large.isEmpty():
             return roots
-        bands = emissions(reps).select(F.col("key").alias("second"), "rep")
+        some = reps.join(large.select("rep").distinct(), "rep", "left_semi")
+        bands = emissions(some).select(F.col("key").alias("second"), "rep")
         rows = large.join(bands, "rep").where("key <> second").select(F.xxhash64("key", "second").alias("key"), "rep")
     raise RuntimeError("bands of documents with equal registers that are not similar")
 
 
+def _open_bands(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of bands that hold several components: whether a row is in the largest of them, and the pairs to look at."""
+    split = _labelled(shared.select("key", "rep"), roots)
+    sizes = split.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    bands = sizes.groupBy("key").agg(
+        F.max_by("root", F.col("size") * 1024 + F.pmod(F.xxhash64("root"), F.lit(1024))).alias("major"),
+        F.sum("size").alias("all"),
+        F.max("size").alias("most"),
+        F.count(F.lit(1)).alias("kinds"),
+    )
+    several = bands.where("kinds > 1").select("key", "major", (F.expr("(all - most) * all")).alias("work"))
+    return matched(split, several, "key").select("key", "rep", "root", (F.col("root") == F.col("major")).alias("in_major"), "work")
+
+
+def _cross_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of a band across components, as far as sizes and sign bits allow a link.
+
+    The members of a band's largest component are compared with the others
+    only, never with each other.
+    """
+    lean = reps.select("rep", "n_shingles", "sa", "sb")
+    known = matched(rows.select("key", "rep", "root", "in_major"), lean, "rep")
+    few = known.where("NOT in_major")
+    names = ("rep", "root", "in_major", "n_shingles", "sa", "sb")
+    other = known.select("key", *[F.col(c).alias(f"{c}2") for c in names])
+    return (
+        few.join(other, "key")
+        .where("root <> root2 AND (in_major2 OR rep < rep2)")
+        .where(f"100 * least(n_shingles, n_shingles2) >= {SIMILARITY} * greatest(n_shingles, n_shingles2)")
+        .where(f"bit_count(sa ^ sa2) + bit_count(sb ^ sb2) <= {SIGN_LIMIT}")
+        .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+        .distinct()
+    )
+
+
 def _grown(links: DataFrame, roots: DataFrame, pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links and components with the links among ``pairs`` added."""
     if pairs.isEmpty():
