@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, line_dedup, near_dup, packing, pii, quality, quality_sql, secrets, spans, token_files, url_filter
+from tabloom.llm import decontaminate, line_dedup, near_dup, packing, pii, quality, quality_sql, secrets, spans, suffix_dedup, token_files, url_filter
 from tabloom.llm.text import read_table, sha256_of, whole_text
 from tabloom.plans.registry import Catalog
 from tabloom.session import shared_path
@@ -115,11 +115,36 @@ def token_query(spark, sf_dir):
     return token_files.with_checksums(token_files.read_token_files(spark, path))
 
 
+def repeat_query(spark, sf_dir):
+    rest = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+REPEAT_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 800)) AS g
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS p FROM d WHERE len(h) >= 800)),
+again AS (SELECT doc_id, p FROM win QUALIFY count(*) OVER (PARTITION BY g) > 1),
+marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM again),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked) GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM runs
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(len(h)) // 2 FROM d LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id),
+rest AS (SELECT doc_id, string_agg(substr(h, (2 * x + 1)::BIGINT, (2 * (y - x))::BIGINT), '' ORDER BY x) AS kept
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d JOIN rest USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+
 def register(catalog: Catalog) -> None:
     catalog.add("op1_pii", pii_query)
     catalog.add("op2_near_dup", near_dup_query, NEAR_DUP_SQL)
     catalog.add("op3_packing", packing_query)
     catalog.add("op4_line_dedup", line_query, LINE_SQL)
+    catalog.add("op5_suffix_dedup", repeat_query, REPEAT_SQL)
     catalog.add("op6_url_filter", url_query, URL_SQL)
     catalog.add("op7_quality_rules", quality_query, quality_sql.quality_sql())
     catalog.add("op8_secret_scan", secret_query)

@@ -8,16 +8,17 @@ a pair misses all 32 bands with a probability below 1e-10.
 
 Equal sets are one class, and only its smallest doc_id goes on.  In a band a
 candidate is compared with two elected members, the one that is central and one
-chosen by a hash, so a band of any size gives two pairs per member at most.  Pairs first pass the estimate from
-registers, corrected for chance collisions, then are verified on full sets;
-verified links are contracted to components.
+chosen by a hash, so a band of any size gives two pairs per member at most.
+Pairs first pass the estimate from registers, corrected for chance collisions,
+then are verified on full sets; verified links are contracted to components.
 
 Election leaves links unseen inside a band.  They matter only between members
-that are not yet in one component.  In bands that still hold several
-components, the members outside the largest one are therefore compared with all
-members of other components.  Where that would be more than ``BAND_WORK`` pairs
-in one band, the band is refined by every other band of its members, and the
-finer bands are treated like bands again, until nothing is left.
+that are not yet in one component.  In bands that still hold several components,
+what is alike by registers across components is joined to clouds, and in a
+cloud the members of different components are compared on full sets, block by
+block: a task holds two blocks of bounded size, counts common shingles by matrix
+products and gives back one link for each two components.  No pairs are written
+out, and no pair is left out.
 
 Nothing about all documents passes through the driver: it sees counts.
 """
@@ -42,10 +43,10 @@ BAND = 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // BAND
 EMPTY = 0xFFFF
-BAND_WORK = 4_000_000
+BLOCK_REPS = 256
+BAND_REPS = 2048
+NEXT_BANDS = 8
 DEVIATIONS = 5.0
-# differing sign bits of a pair at the similarity: half of the differing registers, and five deviations
-SIGN_LIMIT = 25
 PIECE_CHARS = 4 << 20
 # Odd multipliers that mix 64-bit hashes.
 MIX_A, MIX_B, STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
@@ -133,14 +134,6 @@ def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, (grouped != EMPTY).any(axis=2)
 
 
-def sign_bits(regs: np.ndarray) -> np.ndarray:
-    """A bit per register, as two 64-bit words: a quick bound of how many registers differ."""
-    x = regs.astype(np.uint64)
-    bits = (mixed(x + np.uint64(STEP)) & np.uint64(1)).astype(np.uint8)
-    bits[regs == EMPTY] = 0
-    return np.packbits(bits, axis=1).view(np.int64)
-
-
 def _pieces(batch: pa.RecordBatch, column: int):
     """Slices of a batch of a bounded number of characters, but at least a row."""
     ends = np.cumsum(pc.utf8_length(batch.column(column)).to_numpy())
@@ -151,7 +144,7 @@ def _pieces(batch: pa.RecordBatch, column: int):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, da and db (128 bits of the set), sign bits and registers of each row."""
+    """doc_id, n_shingles, da and db (128 bits of the set) and registers of each row."""
 
     def sign(batches):
         for batch in batches:
@@ -160,22 +153,19 @@ def signatures(docs: DataFrame) -> DataFrame:
                 regs = registers(values, begin)
                 digests = [xxhash.xxh3_128_digest(values[i:j].tobytes()) for i, j in zip(begin, begin[1:])]
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                signs = sign_bits(regs)
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0),
                         pa.array(np.diff(begin), pa.int64()),
                         pa.array(halves[:, 0]),
                         pa.array(halves[:, 1]),
-                        pa.array(signs[:, 0]),
-                        pa.array(signs[:, 1]),
                         pa.array([r.tobytes() for r in regs], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "da", "db", "sa", "sb", "regs"],
+                    ["doc_id", "n_shingles", "da", "db", "regs"],
                 )
 
     rows = picked(docs, "doc_id", "text").select("doc_id", whole_text().alias("text"))
-    return rows.mapInArrow(sign, f"doc_id {kind_of(docs)}, n_shingles long, da long, db long, sa long, sb long, regs binary")
+    return rows.mapInArrow(sign, f"doc_id {kind_of(docs)}, n_shingles long, da long, db long, regs binary")
 
 
 def kind_of(docs: DataFrame) -> str:
@@ -187,7 +177,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def emissions(reps: DataFrame) -> DataFrame:
-    """key and rep of every band that holds a hash.
+    """key, band and rep of every band that holds a hash.
 
     A set so small that one differing shingle is too much links with nothing
     but its equals, and has no bands.
@@ -198,11 +188,12 @@ def emissions(reps: DataFrame) -> DataFrame:
             keys, real = band_keys(_matrix(batch.column(1)))
             rows, cols = np.nonzero(real)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[rows, cols].view(np.int64)), batch.column(0).take(pa.array(rows))], ["key", "rep"]
+                [pa.array(keys[rows, cols].view(np.int64)), pa.array(cols, pa.int32()), batch.column(0).take(pa.array(rows))],
+                ["key", "band", "rep"],
             )
 
     least = SIMILARITY / (100 - SIMILARITY)  # n / (n + 1) must reach the similarity
-    return reps.where(F.col("n_shingles") >= least).select("rep", "regs").mapInArrow(emit, "key long, rep long")
+    return reps.where(F.col("n_shingles") >= least).select("rep", "regs").mapInArrow(emit, "key long, band int, rep long")
 
 
 def matched(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
@@ -259,9 +250,8 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.mapInArrow(judge, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough.  ``texts`` has rep and text."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+def set_table(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """rep and set (its hashes) of the ``needed`` reps.  ``texts`` has rep and text."""
 
     def sets(batches):
         for batch in batches:
@@ -272,10 +262,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 )
 
     held = texts.join(needed, "rep", "left_semi").select("rep", "text").mapInArrow(sets, "rep long, set binary")
-    held = write_and_reread(held, "dedup-sets")
+    return write_and_reread(held, "dedup-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
     both = pairs
     for side in ("a", "b"):
-        both = both.join(held.select(F.col("rep").alias(side), F.col("set").alias(f"s{side}")), side)
+        both = both.join(sets.select(F.col("rep").alias(side), F.col("set").alias(f"s{side}")), side)
 
     def confirm(batches):
         for batch in batches:
@@ -336,10 +330,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null and they are kept.  An empty table gives an empty result.
     """
     signed = write_and_reread(signatures(docs), "dedup-signatures")
-    ids = signed.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", "da", "db", "sa", "sb", "regs")
+    ids = signed.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", "da", "db", "regs")
     worded = ids.where("n_shingles > 0")
     classes = write_and_reread(worded.groupBy("da", "db").agg(F.min("doc_id").alias("rep")), "dedup-classes")
-    own = matched(worded, classes, "da", "db").select("doc_id", "rep", "n_shingles", "sa", "sb", "regs")
+    own = matched(worded, classes, "da", "db").select("doc_id", "rep", "n_shingles", "regs")
     reps = write_and_reread(own.where("doc_id = rep").drop("doc_id").dropDuplicates(["rep"]), "dedup-reps")
     texts = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("rep"), whole_text().alias("text"))
     roots = link_classes(reps, texts)
@@ -356,71 +350,188 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def link_classes(reps: DataFrame, texts: DataFrame) -> DataFrame:
     """rep and root of the classes that have a link."""
-    links = reps.sparkSession.createDataFrame([], "a long, b long")
-    roots = links.select(F.col("a").alias("rep"), F.col("b").alias("root"))
-    rows = emissions(reps)
-    for _ in range(BANDS + 1):
-        shared = write_and_reread(shared_bands(rows), "dedup-bands")
-        tried = write_and_reread(star_pairs(shared), "dedup-pairs")
-        links, roots = _grown(links, roots, tried, reps, texts)
-        open_rows = write_and_reread(_open_bands(shared, roots), "dedup-open")
-        near = open_rows.where(F.col("work") <= BAND_WORK)
-        cross = write_and_reread(_cross_pairs(near, reps).join(tried, ["a", "b"], "left_anti"), "dedup-pairs")
-        links, roots = _grown(links, roots, cross, reps, texts)
-        large = open_rows.where(F.col("work") > BAND_WORK).select("key", "rep")
-        if large.isEmpty():
-            return roots
+    shared = write_and_reread(shared_bands(emissions(reps)), "dedup-bands")
+    close = write_and_reread(likely(star_pairs(shared), reps), "dedup-likely")
+    if close.isEmpty():
+        stars, roots = close, close.select(F.col("a").alias("rep"), F.col("b").alias("root"))
+    else:
+        needed = close.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        stars = write_and_reread(verified(close, set_table(texts, needed)), "dedup-stars")
+        roots = components(stars)
+    # a band that holds several components may hide a link between them
+    edges = write_and_reread(cloud_edges(shared.select("key", "band", "rep"), roots, reps).distinct(), "dedup-open")
+    if edges.isEmpty():
+        return roots
+    clouds = components(edges).withColumnRenamed("root", "cloud")
+    members = write_and_reread(_labelled(clouds, roots), "dedup-clouds")
+    crossing = write_and_reread(cross_links(members, reps, texts), "dedup-crossing")
+    return roots if crossing.isEmpty() else components(stars.select("a", "b").union(crossing))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows (key, band, rep, root) of keys that hold several roots, with the number of the key's rows."""
+    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+    return matched(rows, several.where("low < high").select("key", "n"), "key")
+
+
+def cloud_edges(shared: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) that join all pairs of different components whose registers are alike enough for a link.
+
+    A task looks at one band, or at two parts of one, and gives back a spanning
+    forest of its pairs, not the pairs.  A band with more than ``BAND_REPS``
+    members is first refined by the bands next to it, twice, which parts what
+    has little in common; what is still larger is looked at in parts.
+    """
+    rows = write_and_reread(_open(_labelled(shared, roots)), "dedup-rows")
+    lean = reps.select("rep", "regs")
+    parts = []
+    for depth in range(3):
+        fits = rows.where(F.col("n") <= BAND_REPS) if depth < 2 else rows
+        split = F.ceil(F.col("n") / BAND_REPS).cast("int")
+        mine = F.pmod(F.xxhash64("rep"), split).cast("int")
+        ranged = fits.select("key", "rep", "root", mine.alias("own"), F.explode(F.sequence(F.lit(0), split - 1)).alias("with"))
+        dealt = matched(
+            ranged.select(F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("task"), "rep", "root"), lean, "rep"
+        )
+        parts.append(dealt.repartition("task").sortWithinPartitions("task").select("task", "rep", "root", "regs").mapInArrow(_spanning, "a long, b long"))
+        large = rows.where(F.col("n") > BAND_REPS)
+        if depth == 2 or large.isEmpty():
+            break
         some = reps.join(large.select("rep").distinct(), "rep", "left_semi")
-        bands = emissions(some).select(F.col("key").alias("second"), "rep")
-        rows = large.join(bands, "rep").where("key <> second").select(F.xxhash64("key", "second").alias("key"), "rep")
-    raise RuntimeError("bands of documents with equal registers that are not similar")
-
-
-def _open_bands(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of bands that hold several components: whether a row is in the largest of them, and the pairs to look at."""
-    split = _labelled(shared.select("key", "rep"), roots)
-    sizes = split.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    bands = sizes.groupBy("key").agg(
-        F.max_by("root", F.col("size") * 1024 + F.pmod(F.xxhash64("root"), F.lit(1024))).alias("major"),
-        F.sum("size").alias("all"),
-        F.max("size").alias("most"),
-        F.count(F.lit(1)).alias("kinds"),
-    )
-    several = bands.where("kinds > 1").select("key", "major", (F.expr("(all - most) * all")).alias("work"))
-    return matched(split, several, "key").select("key", "rep", "root", (F.col("root") == F.col("major")).alias("in_major"), "work")
-
-
-def _cross_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of a band across components, as far as sizes and sign bits allow a link.
-
-    The members of a band's largest component are compared with the others
-    only, never with each other.
+        near = emissions(some).select(F.col("key").alias("key2"), F.col("band").alias("band2"), "rep")
+        finer = large.join(near, "rep").where(f"pmod(band2 - band, {BANDS}) BETWEEN 1 AND {NEXT_BANDS}")
+        rows = write_and_reread(
+            _open(finer.select(F.xxhash64("key", "key2").alias("key"), F.col("band2").alias("band"), "rep", "root")), "dedup-rows"
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def _spanning(batches):
+    """Spanning forests of the alike pairs across roots, of rows (task, rep, root, regs) in the order of tasks."""
+    held: list[pa.RecordBatch] = []
+
+    def forest(rep: np.ndarray, root: np.ndarray, regs: np.ndarray) -> list[tuple[int, int]]:
+        parent = list(range(len(rep)))
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        live = regs != EMPTY
+        for begin in range(0, len(rep), 64):
+            part = slice(begin, begin + 64)
+            equal = ((regs[part, None, :] == regs[None, begin:, :]) & live[part, None, :]).sum(axis=2)
+            used = (live[part, None, :] | live[None, begin:, :]).sum(axis=2)
+            alike = equal >= used * (SIMILARITY / 100) - DEVIATIONS * np.sqrt(SIMILARITY / 100 * (1 - SIMILARITY / 100) * used)
+            alike &= root[part, None] != root[None, begin:]
+            for i, j in zip(*np.nonzero(alike)):
+                x, y = top(begin + int(i)), top(begin + int(j))
+                if x != y:
+                    parent[y] = x
+                    out.append((int(rep[begin + i]), int(rep[begin + j])))
+        return out
+
+    def finish(table: pa.Table) -> pa.RecordBatch:
+        task = table.column("task").to_numpy()
+        rep, root = table.column("rep").to_numpy(), table.column("root").to_numpy()
+        regs = _matrix(table.column("regs"))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
+        out = [e for i, j in zip(cuts, cuts[1:]) for e in forest(rep[i:j], root[i:j], regs[i:j])]
+        return pa.RecordBatch.from_arrays([pa.array([min(e) for e in out], pa.int64()), pa.array([max(e) for e in out], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        task = table.column("task").to_numpy()
+        whole = int(np.searchsorted(task, task[-1]))  # the last task may go on in the next batch
+        if whole:
+            yield finish(table.slice(0, whole))
+            held = table.slice(whole).to_batches()
+    if held:
+        yield finish(pa.Table.from_batches(held))
+
+
+def cross_links(members: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components of a cloud: (a, b), one for each two components of each two blocks.
+
+    ``members`` has rep, cloud and root.  A cloud is cut into blocks of about
+    ``BLOCK_REPS`` by component, size and hash; small components lie together.
+    Two blocks meet in a task if their sizes allow a link and they are not of
+    one component, and the task counts the common shingles of all pairs of the
+    two as products of incidence matrices.
     """
-    lean = reps.select("rep", "n_shingles", "sa", "sb")
-    known = matched(rows.select("key", "rep", "root", "in_major"), lean, "rep")
-    few = known.where("NOT in_major")
-    names = ("rep", "root", "in_major", "n_shingles", "sa", "sb")
-    other = known.select("key", *[F.col(c).alias(f"{c}2") for c in names])
-    return (
-        few.join(other, "key")
-        .where("root <> root2 AND (in_major2 OR rep < rep2)")
-        .where(f"100 * least(n_shingles, n_shingles2) >= {SIMILARITY} * greatest(n_shingles, n_shingles2)")
-        .where(f"bit_count(sa ^ sa2) + bit_count(sb ^ sb2) <= {SIGN_LIMIT}")
-        .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-        .distinct()
+    sized = matched(members, reps.select("rep", "n_shingles"), "rep")
+    whole = sized.groupBy("cloud", "root").agg(F.count(F.lit(1)).alias("of_root"))
+    step = float(-np.log(SIMILARITY / 100))
+    graded = matched(sized, whole, "cloud", "root").select(
+        "rep",
+        "cloud",
+        "root",
+        F.when(F.col("of_root") < BLOCK_REPS, F.lit(-1).cast("long")).otherwise(F.col("root")).alias("own"),
+        F.floor(F.log("n_shingles") / F.lit(step)).cast("int").alias("grade"),
     )
-
-
-def _grown(links: DataFrame, roots: DataFrame, pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and components with the links among ``pairs`` added."""
-    if pairs.isEmpty():
-        return links, roots
-    close = write_and_reread(likely(pairs, reps), "dedup-likely")
-    fresh = write_and_reread(verified(close, texts), "dedup-fresh")
-    if fresh.isEmpty():
-        return links, roots
-    links = links.union(fresh)
-    return links, components(links)
+    keys = ("cloud", "own", "grade")
+    filled = graded.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_REPS).cast("int").alias("parts"))
+    blocks = filled.select(*keys, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn(
+        "block", F.xxhash64(*keys, "part")
+    )
+    other = blocks.select("cloud", *[F.col(c).alias(f"{c}2") for c in ("own", "grade", "block")])
+    meets = blocks.join(other, "cloud").where("abs(grade - grade2) <= 1 AND (own = -1 OR own <> own2) AND block <= block2 OR own <> -1 AND own2 = -1 AND abs(grade - grade2) <= 1 AND block < block2")
+    ends = meets.select(
+        F.xxhash64("block", "block2").alias("meet"),
+        F.explode(
+            F.expr("filter(array(struct(block AS block, 0 AS side), struct(block2 AS block, 1 AS side)), x -> x.side = 0 OR block <> block2)")
+        ).alias("end"),
+    ).select("meet", "end.block", "end.side")
+    placed = (
+        matched(graded, filled, *keys)
+        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        .select("rep", "root", F.xxhash64(*keys, "part").alias("block"))
+    )
+    rows = placed.join(ends, "block").join(set_table(texts, members.select("rep")), "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        rep, root = table.column("rep").to_numpy(), table.column("root").to_numpy()
+        values = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1)
+        right = right if len(right) else left  # a block that meets itself
+        common = common_counts([values[i] for i in left], [values[i] for i in right])
+        size = np.array([len(v) for v in values])
+        union = size[left][:, None] + size[right][None, :] - common
+        i, j = np.nonzero((100 * common >= SIMILARITY * union) & (root[left][:, None] != root[right][None, :]))
+        found = {}
+        for x, y in zip(left[i].tolist(), right[j].tolist()):
+            found.setdefault((min(root[x], root[y]), max(root[x], root[y])), (min(rep[x], rep[y]), max(rep[x], rep[y])))
+        return pa.table({c: pa.array([p[k] for p in found.values()], pa.int64()) for k, c in enumerate("ab")})
+
+    return rows.select("meet", "side", "rep", "root", "set").groupBy("meet").applyInArrow(compare, "a long, b long")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 13) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists."""
+    out = np.zeros((len(left), len(right)), np.float64)
+    flat = np.concatenate([*left, *right, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(v) for v in (*left, *right)])
+    _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    many = often > 1  # what only one set has is common to none
+    live = many[code]
+    owner, code = owner[live], (np.cumsum(many) - 1)[code[live]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    edges = np.searchsorted(code, np.arange(0, int(many.sum()) + width, width))
+    for k, (low, high) in enumerate(zip(edges, edges[1:])):
+        has = np.zeros((len(left) + len(right), width), np.float32)
+        has[owner[low:high], code[low:high] - k * width] = 1
+        out += has[: len(left)] @ has[len(left) :].T
+    return out.astype(np.int64)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
         key <<= bits
         key[: max(0, n - k)] |= s[k:]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.ones(n, bool)
         new[1:] = ordered[1:] != ordered[:-1]
@@ -163,7 +163,7 @@ def repeated_starts(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarra
     order = suffix_order(s, length)
     before = np.where(order > 0, s[order - 1], 0)  # the transform; the first suffix has nothing before it
     # LF: where the suffix that is longer by the symbol before goes
-    stable = np.argsort(before, kind="stable")
+    stable = np.argsort(before.astype(np.uint16) if before.max() < 1 << 16 else before, kind="stable")
     lf = np.empty(n, np.int64)
     lf[stable] = np.arange(n)
     # the last and the next place with the same symbol
