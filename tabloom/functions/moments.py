@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.session import few_tasks
 
 _PARTIAL = "i int, n double, mean double, m2 double, m3 double, m4 double, low double, high double"
 
@@ -56,7 +55,7 @@ def moment_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         yield pa.RecordBatch.from_arrays(columns, names=["i", "n", "mean", "m2", "m3", "m4", "low", "high"])
 
     doubles = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
-    partial = few_tasks(doubles).mapInArrow(fold, _PARTIAL).filter("n > 0")
+    partial = doubles.mapInArrow(fold, _PARTIAL).filter("n > 0")
     whole = Window.partitionBy("i")
     shifted = partial.withColumn("d", F.col("mean") - F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole))
     n, d, m2, m3 = F.col("n"), F.col("d"), F.col("m2"), F.col("m3")

@@ -34,7 +34,7 @@ from tabloom.operators.histtree import (
     uniform_draw,
 )
 from tabloom.operators.quantiles import number
-from tabloom.session import few_tasks, write_and_reread
+from tabloom.session import write_and_reread
 
 CURVE_SCHEMA = "iter int, split string, rmse double, r2 double"
 NODE_SCHEMA = "tree int, node int, feature int, bin int, left int, value double"
@@ -232,7 +232,7 @@ class Booster:
 
 def _keep(df: DataFrame, label: str) -> DataFrame:
     """Write the table out (so no executor loss costs more than a read) and keep it near."""
-    return few_tasks(write_and_reread(df, label)).persist(StorageLevel.MEMORY_AND_DISK)
+    return write_and_reread(df, label).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _label_variance(table: DataFrame) -> dict[int, float]:
@@ -321,7 +321,7 @@ class CategoryBooster:
     label: str = "label"
     key: str = "row_id"
     one_hot_max_size: int = 2
-    unit: float = 0.01
+    unit: float | None = None
     booster: Booster | None = None
 
     def fit(self, df: DataFrame, is_validation: Column | None = None) -> CategoryBoosterModel:
@@ -337,8 +337,10 @@ class CategoryBooster:
                 statistics.append(TargetStatistics.fit(train, c, self.label, self.key, unit=self.unit))
                 level_tables.append(write_and_reread(statistics[-1].level_table(train), "levels"))
         encoded = train
-        for s in statistics:
-            encoded = s.encode_training(encoded, f"{s.category}__mean")
+        for s in statistics:  # each from its own three columns, so the plan grows by one join a category
+            name = f"{s.category}__mean"
+            own = s.encode_training(train.select(self.key, s.category, self.label), name).select(self.key, name)
+            encoded = encoded.join(write_and_reread(own, "encoding"), self.key)
         if is_validation is not None:
             new = df.filter(is_validation)
             for s, levels in zip(statistics, level_tables, strict=True):

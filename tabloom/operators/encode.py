@@ -102,8 +102,12 @@ class TargetStatistics:
         target: str = "target",
         key: str = "row_id",
         weight: float = 1.0,
-        unit: float = 0.01,
+        unit: float | None = None,
     ) -> TargetStatistics:
+        """``unit`` is the step to which targets are rounded for exact sums; by default 2^-31 of the largest one."""
+        if unit is None:
+            most = df.agg(F.max(F.abs(F.col(target).cast("double")))).first()[0]
+            unit = 2.0 ** (math.floor(math.log2(most)) - 30) if most and math.isfinite(most) else 1.0
         units = _units(target, unit)
         row = df.agg(F.sum(units).alias("total"), F.count(units).alias("n")).first()
         prior = (row["total"] or 0) * unit / max(row["n"], 1)

@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions.moments import moment_table, sample_deviation, sample_kurtosis, sample_skewness
 from tabloom.operators.quantiles import exact_quantiles, number
-from tabloom.session import few_tasks
+from tabloom.session import merged
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -200,8 +201,8 @@ def pair_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
 
     schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    partial = few_tasks(df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(names)])).mapInArrow(fold, schema)
-    return partial.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    partial = df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(names)]).mapInArrow(fold, schema)
+    return merged(partial, ["i", "j"], ["n", "sx", "sy", "sxx", "syy", "sxy"])
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -271,8 +272,10 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The most frequent value per column and its count; the smallest value wins a tie."""
-    best = F.min(F.struct((-F.col("n")).alias("order"), "value")).alias("best")
+    """The most frequent value per column and its count; the smallest value wins a tie, numbers by their size."""
+    numeric = [f.name for f in df.schema.fields if f.name in set(columns) and isinstance(f.dataType, T.NumericType)]
+    size = F.when(F.col("column_name").isin(*numeric), F.col("value").try_cast("double")) if numeric else F.lit(None).cast("double")
+    best = F.min(F.struct((-F.col("n")).alias("order"), size.alias("size"), "value")).alias("best")
     return (
         _value_table(df, columns)
         .groupBy("column_name")

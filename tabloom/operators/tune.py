@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.metrics import rmse
 
-Parameters = dict[str, float]
+Parameters = dict[str, float | int]
 TRIAL_SCHEMA = "trial_id int, params map<string,double>, fold int, score double"
 
 
 def parameter_grid(grid: Mapping[str, Iterable[float]]) -> list[Parameters]:
     """Every combination of the listed values."""
     names = list(grid)
-    return [dict(zip(names, map(float, values), strict=True)) for values in product(*(grid[n] for n in names))]
+    return [dict(zip(names, values, strict=True)) for values in product(*(grid[n] for n in names))]
 
 
 @dataclass(frozen=True)
@@ -37,13 +37,13 @@ class Uniform:
     log: bool = False
     integer: bool = False
 
-    def draw(self, rng: random.Random) -> float:
+    def draw(self, rng: random.Random) -> float | int:
         if self.integer and not self.log:
-            return float(rng.randint(int(self.low), int(self.high)))
+            return rng.randint(int(self.low), int(self.high))
         if not self.log:
             return rng.uniform(self.low, self.high)
         value = float(np.exp(rng.uniform(np.log(self.low), np.log(self.high))))
-        return float(round(value)) if self.integer else value
+        return round(value) if self.integer else value
 
 
 def random_candidates(space: Mapping[str, Uniform], trials: int, seed: int = 42) -> list[Parameters]:
@@ -70,7 +70,8 @@ def run_trials(
     def score(job: tuple[int, int]) -> tuple:
         trial, fold = job
         train, validation = splits[fold]
-        return trial, candidates[trial], fold, float(objective(train, validation, candidates[trial]))
+        shown = {name: float(value) for name, value in candidates[trial].items()}
+        return trial, shown, fold, float(objective(train, validation, candidates[trial]))
 
     with ThreadPool(max(1, parallelism)) as pool:
         rows = pool.map(score, jobs, chunksize=1)

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+import zipfile
 from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed value: the JVM leaves methods above this many bytes of code to its interpreter.
 JIT_METHOD_BYTES = "8000"
 
+MERGE_WAYS = 64
+
 _local_folder: str | None = None
+_lock = threading.RLock()
+_shipped: set[str] = set()
 _derived: dict[tuple[str, str, str], str] = {}
 
 
@@ -52,7 +59,9 @@ def build_session(app_name: str = "tabloom", master: str | None = None, **conf:
         )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -90,27 +99,50 @@ def write_and_reread(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few_tasks(df: DataFrame) -> DataFrame:
-    """At most a few tasks per core, without a shuffle.
+def merged(partial: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Sums of the summaries that tasks emit, per key, in two levels.
 
-    For operators whose tasks each emit one summary of fixed size: more tasks
-    would only mean more summaries to shuffle.
+    There is a summary for every input split, so the first level adds up those
+    of a share of the splits, and no task of the second reads more than
+    ``MERGE_WAYS`` rows for a key.
     """
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    way = F.pmod(F.spark_partition_id(), F.lit(MERGE_WAYS))
+    first = partial.withColumn("_way", way).groupBy(*keys, "_way").agg(*[F.sum(c).alias(c) for c in sums])
+    return first.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package: functions that run in Python workers are found by its name there.
+
+    Once per application; a session started from any working folder will do.
+    """
+    app = spark.sparkContext.applicationId
+    with _lock:
+        if app in _shipped:
+            return
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="tabloom-code-"), "tabloom.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            for folder, _, names in sorted(os.walk(root)):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.join("tabloom", os.path.relpath(full, root)))
+        spark.sparkContext.addPyFile(path)
+        _shipped.add(app)
 
 
 def derive_once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``build`` gives for ``source``, written at the first call of an application and read from then on."""
+    """The table ``build`` gives for ``source``, written at the first call of an application and read from then on.
+
+    It has as many parts as a shuffle.  A source that changes under its path is
+    not noticed within an application.
+    """
     key = (spark.sparkContext.applicationId, name, source)
-    if key not in _derived:
-        path = shared_path(spark, name)
-        build().write.parquet(path)
-        written = spark.read.parquet(path)
-        cores = spark.sparkContext.defaultParallelism
-        if written.rdd.getNumPartitions() < cores:  # small enough for a rewrite that gives every core a part
+    with _lock:
+        if key not in _derived:
             path = shared_path(spark, name)
-            written.repartition(cores).write.parquet(path)
-        _derived[key] = path
+            build().repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
+            _derived[key] = path
     return spark.read.parquet(_derived[key])
 
 

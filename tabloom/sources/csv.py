@@ -35,21 +35,30 @@ MISSING_TOKENS = (
 )
 
 
+# What counts as a number: a cast alone also takes suffixes such as that of 5d.
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+DECIMAL = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType | str | None = None,
     missing: Sequence[str] = MISSING_TOKENS,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A CSV file or folder with a header.
 
     Every column is read as text, missing tokens become null, and then the
     column is cast.  Without ``schema``, one pass over the whole input finds the
     types: a column is bigint if all its values are whole numbers, double if all
-    are numbers, else string.
+    are numbers, else string.  Quotes inside quoted cells are doubled; with
+    ``multi_line`` quoted cells may hold line breaks, and files are not split.
     """
     try:
-        raw = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
+        raw = spark.read.csv(
+            path, header=True, inferSchema=False, enforceSchema=False, quote='"', escape='"', multiLine=multi_line
+        )
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise SourceNotFound(path) from error
@@ -73,8 +82,8 @@ def infer_types(text: DataFrame) -> dict[str, str]:
         x = F.col(f"`{c}`")
         aggregates += [
             F.count(x).alias(f"n{i}"),
-            F.count(x.try_cast("bigint")).alias(f"b{i}"),
-            F.count(x.try_cast("double")).alias(f"d{i}"),
+            F.count(F.when(x.rlike(WHOLE), x.try_cast("bigint"))).alias(f"b{i}"),
+            F.count(F.when(x.rlike(DECIMAL), x.try_cast("double"))).alias(f"d{i}"),
         ]
     row = text.agg(*aggregates).first()
     types = {}

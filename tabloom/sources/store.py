@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+from dataclasses import fields
+
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +22,36 @@ def stored(spark: SparkSession, path: str) -> bool:
 
 
 def save_model(model, path: str) -> None:
-    """Write a fitted model, replacing one at the same path."""
-    model.write().overwrite().save(path)
+    """Write a fitted model, replacing one at the same path.
+
+    Spark ML models write themselves.  A model of this library is a dataclass:
+    its values are pickled into a one-row table, tables it holds are written
+    beside it, and `load_model` puts it together again.
+    """
+    if hasattr(model, "write"):
+        model.write().overwrite().save(path)
+        return
+    state = {}
+    for f in fields(model):
+        value = getattr(model, f.name)
+        if isinstance(value, tuple) and any(isinstance(x, DataFrame) for x in value):
+            for k, table in enumerate(value):
+                table.write.mode("overwrite").parquet(f"{path}/{f.name}-{k}")
+            state[f.name] = (True, len(value))
+        else:
+            state[f.name] = (False, value)
+    row = [(bytearray(pickle.dumps((type(model), state))),)]
+    SparkSession.active().createDataFrame(row, "model binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+
+
+def load_model(spark: SparkSession, path: str):
+    """A model of this library from `save_model`; as with every pickle, only from a place one trusts."""
+    kind, state = pickle.loads(bytes(spark.read.parquet(f"{path}/model").first()["model"]))
+    parts = {
+        name: tuple(spark.read.parquet(f"{path}/{name}-{k}") for k in range(value)) if tables else value
+        for name, (tables, value) in state.items()
+    }
+    return kind(**parts)
 
 
 def load_or_fit(path: str, estimator: Estimator, train: DataFrame) -> PipelineModel:
