@@ -1,6 +1,6 @@
 """Regression trees grown from distributed histograms.
 
-Feature values are cut into at most 255 bins once.  A growing step is then one
+Feature values are cut into bins once, of a byte each or of two where more than 255 are asked for.  A growing step is then one
 Spark job: every task routes its rows down the unfinished tree and sums
 gradients per (node, feature, bin), one shuffle adds the sums up, and windows
 over the bins find the best split of each node, so the driver receives one row
@@ -83,9 +83,10 @@ class Binning:
 
         A column with few distinct values gets a border at each of them.
         """
-        if not 2 <= max_bins <= 255:
-            raise ValueError("max_bins must lie between 2 and 255")
+        if not 2 <= max_bins <= 65_535:
+            raise ValueError("max_bins must lie between 2 and 65535")
         steps = [i / (max_bins - 1) for i in range(1, max_bins)]
+        accuracy = max(accuracy, 4 * max_bins)
         row = df.agg(
             *[F.approx_percentile(number(c), steps, accuracy).alias(f"q{i}") for i, c in enumerate(columns)],
             *[F.max(number(c)).alias(f"m{i}") for i, c in enumerate(columns)],
@@ -102,7 +103,8 @@ class Binning:
 
     def matrix(self, columns: Sequence[np.ndarray]) -> np.ndarray:
         """Bin numbers of raw feature columns, one row per row."""
-        result = np.empty((len(columns[0]), len(columns)), dtype=np.uint8)
+        kind = np.uint8 if max(self.sizes, default=0) <= 256 else np.uint16
+        result = np.empty((len(columns[0]), len(columns)), dtype=kind)
         for i, (x, border) in enumerate(zip(columns, self.borders, strict=True)):
             found = np.searchsorted(np.array(border), x, side="left") + 1
             result[:, i] = np.where(np.isnan(x), 0, found)
@@ -140,7 +142,7 @@ def binned_table(
 def _bytes_column(matrix: np.ndarray) -> pa.Array:
     n, d = matrix.shape
     fixed = pa.FixedSizeBinaryArray.from_buffers(
-        pa.binary(d), n, [None, pa.py_buffer(np.ascontiguousarray(matrix))]
+        pa.binary(d * matrix.itemsize), n, [None, pa.py_buffer(np.ascontiguousarray(matrix))]
     )
     return fixed.cast(pa.binary())
 
@@ -164,6 +166,8 @@ class Batch:
         else:
             offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
         data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if n else np.empty(0, np.uint8)
+        if len(data) > n * width:
+            data = data.view(np.uint16)
         others = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)]
         return cls(data.reshape(n, width), *others)
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators.linear import Ols
@@ -20,25 +20,32 @@ Fitter = Callable[[DataFrame, DataFrame], object]
 
 
 def out_of_fold(
-    df: DataFrame, fit: Fitter, folds: int, fold: str = "fold", key: str = "row_id", test: DataFrame | None = None
+    df: DataFrame,
+    fit: Fitter,
+    folds: int,
+    fold: str = "fold",
+    key: str = "row_id",
+    test: DataFrame | None = None,
+    keep: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame | None]:
     """Predictions of every row by the model of the other folds.
 
-    Returns (key, fold, prediction) over ``df``, and for ``test`` the mean
-    prediction of all fold models per key.
+    Returns (key, fold, prediction and the columns to ``keep``) over ``df``, and
+    for ``test`` the mean prediction of all fold models per row: the models are
+    chained over one frame, so neither side is shuffled.
     """
-    inside, outside = [], []
+    inside, outside = [], test
     for k in range(folds):
         validation = df.filter(F.col(fold) == k)
         model = fit(df.filter(F.col(fold) != k), validation)
-        inside.append(model.transform(validation).select(key, fold, "prediction"))
+        inside.append(model.transform(validation).select(key, fold, "prediction", *keep))
         if test is not None:
-            outside.append(model.transform(test).select(key, "prediction"))
+            outside = model.transform(outside).withColumnRenamed("prediction", f"__p{k}")
     oof = reduce(DataFrame.unionByName, inside)
     if test is None:
         return oof, None
-    mean = reduce(DataFrame.unionByName, outside).groupBy(key).agg(F.avg("prediction").alias("prediction"))
-    return oof, mean
+    total = reduce(Column.__add__, [F.col(f"__p{k}") for k in range(folds)])
+    return oof, outside.select(key, (total / F.lit(folds)).alias("prediction"))
 
 
 @dataclass(frozen=True)

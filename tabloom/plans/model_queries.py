@@ -27,7 +27,7 @@ from tabloom.operators.linear import ElasticNet, Lasso, Ols, Ridge, polynomial_r
 from tabloom.operators.prepare import MedianImputer, StandardScale
 from tabloom.plans.clean_queries import PLOTS_CTE
 from tabloom.plans.flagship import score_properties
-from tabloom.plans.registry import HASH_SQL, HOLDOUT_SQL, Catalog, rounded, union_all, with_property
+from tabloom.plans.registry import HASH_SQL, HOLDOUT_SQL, STRINGS, Catalog, rounded, union_all, with_property
 from tabloom.plans.run_all import fit_all
 from tabloom.session import reused, shared_path, write_and_reread
 from tabloom.sources import sinks
@@ -149,15 +149,14 @@ OOF_CTE = (
 )
 
 
-def _out_of_fold(spark, d):
+def _out_of_fold(spark, d, *keep):
     with reused(_one_feature(spark, d).select("row_id", "target", "label", "features", "fold")) as df:
-        oof, _ = stack.out_of_fold(df, lambda train, _: Ols().fit(train), 5)
+        oof, _ = stack.out_of_fold(df, lambda train, _: Ols().fit(train), 5, keep=keep)
         return write_and_reread(_back(oof), "oof")
 
 
 def _cv_summary(spark, d):
-    oof = _out_of_fold(spark, d).join(property_table(spark, d).select("row_id", "target"), "row_id")
-    return cross_validation_summary(oof, "target", "prediction").select(
+    return cross_validation_summary(_out_of_fold(spark, d, "target"), "target", "prediction").select(
         "folds", *[F.round(c, 4).alias(c) for c in ("rmse_mean", "rmse_std")],
         *[F.round(c, 6).alias(c) for c in ("r2_mean", "r2_std")],
     )
@@ -437,11 +436,12 @@ SMALL = {"trees": 4, "max_depth": 3, "learning_rate": 0.3}
 
 def _category_boosted(spark, d):
     booster = CategoryBooster(
-        FEATURES, ["zone", "kitchen_quality"], "label", unit=1e-6, booster=symmetric_booster((), **SMALL)
+        FEATURES, STRINGS, "label", unit=1e-6, booster=symmetric_booster((), **SMALL)
     )
-    with reused(_feature_table(spark, d)) as df:
+    rest = property_table(spark, d).select("row_id", *[c for c in STRINGS if c not in ("zone", "kitchen_quality")])
+    with reused(_feature_table(spark, d).join(rest, "row_id")) as df:
         model = booster.fit(df, F.col("is_holdout"))
-    return _scores(model.transform(_feature_table(spark, d).filter("is_holdout")))
+        return _scores(write_and_reread(model.transform(df.filter("is_holdout")), "scored"))
 
 
 def _adaboost(spark, d):

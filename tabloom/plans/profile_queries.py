@@ -311,6 +311,20 @@ def register(catalog: Catalog) -> None:
         _eager(lambda df: profile.log_histogram(df, "target", 50), ["target"]),
         with_property(_histogram_sql("ln(1 + target)", "target", 50)),
     )
+    whole = [c for c in COLUMNS if c != "row_id"]
+    add(
+        "U3_duplicate_count_all",
+        lambda spark, d: profile.duplicate_count(property_table(spark, d).select(*whole)),
+        with_property(
+            "SELECT CAST(COUNT(*) - (SELECT COUNT(*) FROM "
+            f"(SELECT DISTINCT {', '.join(whole)} FROM prop) u) AS BIGINT) AS duplicates FROM prop"
+        ),
+    )
+    add(
+        "U4_drop_duplicates_all",
+        lambda spark, d: sets.drop_duplicates(property_table(spark, d).select(*whole)),
+        with_property(f"SELECT DISTINCT {', '.join(whole)} FROM prop"),
+    )
     columns = ", ".join(DISTINCT_COLUMNS)
     add(
         "U3_duplicate_count",
