@@ -184,7 +184,7 @@ def _native_categories(spark, d):
 
 def _target_statistics(spark, d):
     with reused(property_table(spark, d).select("row_id", "zone", "target")) as df:
-        statistics = encode.TargetStatistics.fit(df, "zone")
+        statistics = encode.TargetStatistics.fit(df, "zone", unit=0.01)
     df = property_table(spark, d).select("row_id", "zone", "target")
     return rounded(statistics.encode_training(df, "zone_mean").select("row_id", "zone_mean"))
 
@@ -193,7 +193,7 @@ def _target_statistics_new(spark, d):
     train = property_table(spark, d).select("row_id", "zone", "target").filter(
         ~in_holdout() & (F.col("zone") != "MACHINERY")
     )
-    statistics = encode.TargetStatistics.fit(train, "zone")
+    statistics = encode.TargetStatistics.fit(train, "zone", unit=0.01)
     new = property_table(spark, d).select("row_id", "zone").filter(in_holdout())
     return rounded(statistics.encode_new(new, statistics.level_table(train), "zone_mean"))
 

@@ -2,13 +2,10 @@ import pytest
 from compare import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tabloom.plans.catalog import build_catalog
 
-CHOICE = (
-    "S3_schema_info A1_missing_summary A10_value_counts A13_histogram A17_null_patterns U3_duplicate_count "
-    "P6_iqr_outlier_upper U1_union_tagged F9_feature_set_core F12_feature_set_wide E2_impute_fit_scope "
-    "E7_one_hot_ignore E13_column_transformer W2_ordered_target_stats M2_ridge M5_bayes_ridge M13_hist_boost "
-    "V7_cv_summary S1_csv_scan"
-).split()
+# The corpus queries have tests of their own.
+NAMES = sorted(name for name in build_catalog().checks)
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +13,7 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", CHOICE)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_sql(spark, sf_dir, con, name):
     assert differences(queries()[name](spark, sf_dir), con, oracle_sql()[name]) == []
 
