@@ -34,7 +34,7 @@ from tabloom.operators.histtree import (
     uniform_draw,
 )
 from tabloom.operators.quantiles import number
-from tabloom.session import write_and_reread
+from tabloom.session import release, write_and_reread
 
 CURVE_SCHEMA = "iter int, split string, rmse double, r2 double"
 NODE_SCHEMA = "tree int, node int, feature int, bin int, left int, value double"
@@ -120,6 +120,7 @@ class Booster:
     growth: Growth = field(default_factory=Growth)
     rules: SplitRules = field(default_factory=SplitRules)
     max_bins: int = 64
+    cut_to_best: bool = True  # predict with the trees up to the least validation error only
     row_share: float = 1.0
     column_share: float = 1.0
     weight_temperature: float = 0.0
@@ -201,13 +202,13 @@ class Booster:
                 pending.append(tree)
                 if len(pending) >= self.trees_per_table and step + 1 < self.trees:
                     updated = _keep(_with_margins(table, len(self.columns), tuple(pending)), "margins")
-                    table.unpersist()
+                    release(table)
                     table, pending = updated, []
             if not stopped:
                 record(_measure(table, len(self.columns), tuple(pending)))
         finally:
-            table.unpersist()
-        if is_validation is None:
+            release(table)
+        if is_validation is None or not self.cut_to_best:
             best = len(trees)
         return BoosterModel(binning, start, tuple(trees), best, tuple(curve))
 
@@ -268,9 +269,13 @@ def _measure(table: DataFrame, width: int, trees: tuple[Tree, ...]) -> Fit:
 
 
 def level_booster(columns: Sequence[str], label: str = "label", **params) -> Booster:
-    """Level-wise trees with L1/L2 penalties, minimum child weight and minimum gain."""
-    base = Booster(columns, label, trees=1000, growth=Growth("level", 6), rules=SplitRules(l2=1.0, min_weight=1.0))
-    return base.with_params(**params)
+    """Level-wise trees with L1/L2 penalties, minimum child weight and minimum gain.
+
+    Validation rows only measure; without ``patience`` all trees predict.
+    """
+    base = Booster(columns, label, trees=1000, growth=Growth("level", 6), rules=SplitRules(l2=1.0, min_weight=1.0), cut_to_best=False)
+    made = base.with_params(**params)
+    return made if made.patience is None or "cut_to_best" in params else replace(made, cut_to_best=True)
 
 
 def leaf_booster(columns: Sequence[str], label: str = "label", **params) -> Booster:

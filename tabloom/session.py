@@ -6,6 +6,7 @@ import os
 import tempfile
 import threading
 import uuid
+import weakref
 import zipfile
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -22,6 +23,7 @@ MERGE_WAYS = 64
 _local_folder: str | None = None
 _lock = threading.RLock()
 _shipped: set[str] = set()
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _derived: dict[tuple[str, str, str], str] = {}
 
 
@@ -96,7 +98,22 @@ def write_and_reread(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Let a table from `write_and_reread` go: out of the cache, and its files deleted.
+
+    For loops that write one version of a table after the other, once nothing reads the old one.
+    """
+    table.unpersist()
+    path = _written.pop(table, None)
+    if path:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def merged(partial: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
