@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.text import ascii_lower, picked, whole_text
+from tabloom.llm.text import ascii_lower, matched, picked, whole_text
 
 MIN_DOCS = 2
 MIN_CHARS = 10
@@ -47,7 +47,7 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         .select("ha", "hb", "keeper")
     )
     drops = (
-        hashed.join(shared, ["ha", "hb"])
+        matched(hashed, shared, "ha", "hb")
         .where("doc_id <> keeper")
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct(F.col("ha").alias("a"), F.col("hb").alias("b"))).alias("_drop"))

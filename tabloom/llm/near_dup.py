@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.text import picked, whole_text
+from tabloom.llm.bloom import without_most
+from tabloom.llm.text import matched, picked, whole_text
 from tabloom.session import write_and_reread
 
 SIZE = 5
@@ -196,17 +197,6 @@ def emissions(reps: DataFrame) -> DataFrame:
     return reps.where(F.col("n_shingles") >= least).select("rep", "regs").mapInArrow(emit, "key long, band int, rep long")
 
 
-def matched(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
-    """Inner join of large rows with one row per key.
-
-    A further key that is made of the others lets neither side keep the
-    partitioning it has, so adaptive execution may split a partition that one
-    key fills.
-    """
-    extra = F.xxhash64(*on)
-    return left.withColumn("_spread", extra).join(right.withColumn("_spread", extra), [*on, "_spread"]).drop("_spread")
-
-
 def shared_bands(rows: DataFrame) -> DataFrame:
     """The rows (key, rep) of keys with several reps, with two elected reps and the number of reps.
 
@@ -261,7 +251,8 @@ def set_table(texts: DataFrame, needed: DataFrame) -> DataFrame:
                     [piece.column(0), pa.array([values[i:j].tobytes() for i, j in zip(begin, begin[1:])], pa.binary())], ["rep", "set"]
                 )
 
-    held = texts.join(needed, "rep", "left_semi").select("rep", "text").mapInArrow(sets, "rep long, set binary")
+    some = without_most(texts.select("rep", "text"), "rep", needed)
+    held = some.join(needed, "rep", "left_semi").select("rep", "text").mapInArrow(sets, "rep long, set binary")
     return write_and_reread(held, "dedup-sets")
 
 
@@ -286,9 +277,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """rep and root of every rep with a link, by contraction.
 
-    In a round every node hooks onto the neighbour that comes first in a random
-    order, or stays; links between what is left form the next, smaller graph.
-    The order is another one in each round, so chains shrink as fast as stars.
+    In a round every node hooks onto the neighbour that comes first, or stays if
+    it comes first itself; links between what is left form the next, smaller
+    graph.  Nodes with more links come first, so a star is done in one round,
+    and among equals the order is a random one that changes with the round, so
+    chains shrink by a share in each.
     """
     edges = write_and_reread(links.select("a", "b"), "dedup-links")
     mapping = None
@@ -296,9 +289,14 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         turn += 1
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = F.xxhash64(F.lit(turn), "b")
-        nearest = both.groupBy("a").agg(F.min_by("b", order).alias("b"))
-        first = F.when(order < F.xxhash64(F.lit(turn), "a"), F.col("b")).otherwise(F.col("a"))
+        degree = both.groupBy("b").agg(F.count(F.lit(1)).alias("links"))
+
+        def place(node: str, links: str) -> Column:
+            return F.pmod(F.xxhash64(F.lit(turn), node), F.lit(1 << 40)) - F.least(links, F.lit(1 << 20)) * F.lit(1 << 40)
+
+        ranked = matched(both, degree, "b").withColumn("at", place("b", "links"))
+        nearest = ranked.groupBy("a").agg(F.min_by("b", "at").alias("b"), F.min("at").alias("at"), F.count(F.lit(1)).alias("links"))
+        first = F.when(F.col("at") < place("a", "links"), F.col("b")).otherwise(F.col("a"))
         hooks = write_and_reread(nearest.select(F.col("a").alias("rep"), first.alias("root")), "dedup-hooks")
         moved = edges
         for side in ("a", "b"):
@@ -355,7 +353,7 @@ def link_classes(reps: DataFrame, texts: DataFrame) -> DataFrame:
     if close.isEmpty():
         stars, roots = close, close.select(F.col("a").alias("rep"), F.col("b").alias("root"))
     else:
-        needed = close.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        needed = write_and_reread(close.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "dedup-needed")
         stars = write_and_reread(verified(close, set_table(texts, needed)), "dedup-stars")
         roots = components(stars)
     # a band that holds several components may hide a link between them
@@ -482,7 +480,9 @@ def cross_links(members: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFr
         "block", F.xxhash64(*keys, "part")
     )
     other = blocks.select("cloud", *[F.col(c).alias(f"{c}2") for c in ("own", "grade", "block")])
-    meets = blocks.join(other, "cloud").where("abs(grade - grade2) <= 1 AND (own = -1 OR own <> own2) AND block <= block2 OR own <> -1 AND own2 = -1 AND abs(grade - grade2) <= 1 AND block < block2")
+    meets = blocks.join(other, "cloud").where(
+        "block <= block2 AND abs(grade - grade2) <= 1 AND (own = -1 OR own2 = -1 OR own <> own2)"
+    )
     ends = meets.select(
         F.xxhash64("block", "block2").alias("meet"),
         F.explode(

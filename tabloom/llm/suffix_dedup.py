@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.text import picked, whole_text
+from tabloom.llm.text import matched, picked, whole_text
 from tabloom.session import write_and_reread
 
 LENGTH = 400
@@ -121,12 +121,6 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(cut, "id long, g long, low long, high long, at long, ca long, cb long")
 
 
-def _spread(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
-    """Inner join with one row per key; the added key lets adaptive execution split a partition that one key fills."""
-    extra = F.xxhash64(*on)
-    return left.withColumn("_spread", extra).join(right.withColumn("_spread", extra), [*on, "_spread"]).drop("_spread")
-
-
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` symbols at least, by prefix doubling."""
     n = len(s)
@@ -275,11 +269,11 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """id, low and high: runs of starts of repeated windows of the texts (id, text)."""
     found = write_and_reread(anchors(texts, length), "suffix-anchors")
     several = found.groupBy("g").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("g")
-    open_ = write_and_reread(_spread(found, several, "g"), "suffix-shared")
+    open_ = write_and_reread(matched(found, several, "g"), "suffix-shared")
     classes = write_and_reread(_classes(open_, ["g"]), "suffix-classes")
     kinds = classes.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"))
     known = classes.join(kinds, "g").where("n > 1 OR kinds > 1")
-    judged = write_and_reread(_spread(open_, known, "g", "ca", "cb"), "suffix-judged")
+    judged = write_and_reread(matched(open_, known, "g", "ca", "cb"), "suffix-judged")
     done = [judged.where("n > 1").select("id", "low", "high")]
     rims = judged.where("kinds > 1 AND (n = 1 OR (id = head_id AND low = head_low))").select(
         "id", "low", "high", "at", (F.col("n") > 1).alias("done")
@@ -291,7 +285,7 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         one = write_and_reread(_classes(cells, ["ka", "kb"]), "suffix-classes")
         many = one.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("kinds"))
         known = one.join(many, ["ka", "kb"]).where("n > 1 OR kinds > 1")
-        met = write_and_reread(_spread(cells.drop("raw"), known, "ka", "kb", "ca", "cb"), "suffix-met")
+        met = write_and_reread(matched(cells.drop("raw"), known, "ka", "kb", "ca", "cb"), "suffix-met")
         done.append(met.where("n > 1 AND NOT done").select("id", "low", "high"))
         left = met.where("kinds > 1 AND (n = 1 OR (id = head_id AND low = head_low))").select(
             "id", "low", "at", "ka", "kb", "kinds", (F.col("done") | (F.col("n") > 1)).alias("over")

@@ -23,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.bloom import BITS_PER_KEY, filter_of, passes
 from tabloom.llm.text import ascii_lower
 from tabloom.session import write_and_reread
 
-BITS_PER_KEY = 10
-PROBES = 5
 PASS_BYTES = 64 << 20
 
 
@@ -58,27 +57,6 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return text, verdict
 
 
-def _mixed(a: np.ndarray, salt: int) -> np.ndarray:
-    """Another 64-bit hash of hashes, for each level and probe."""
-    with np.errstate(over="ignore"):
-        x = a + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def places(a: np.ndarray, b: np.ndarray, level: int, bits: int) -> np.ndarray:
-    """Bit places of keys, one row per probe."""
-    with np.errstate(over="ignore"):
-        first, step = _mixed(a, level), _mixed(b, level) | np.uint64(1)
-        return np.stack([(first + np.uint64(i) * step) % np.uint64(bits) for i in range(PROBES)])
-
-
-def passes(words: np.ndarray, a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
-    at = places(a, b, level, len(words) * 64)
-    return np.all((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1), axis=0)
-
-
 def walk(levels: Sequence[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which keys are listed: the parity of the first level that refuses a key."""
     listed = np.zeros(len(a), bool)
@@ -105,26 +83,6 @@ def _alive(keys: DataFrame, levels, listed: bool) -> DataFrame:
     return rows.mapInArrow(pick, "a bigint, b bigint") if levels else rows
 
 
-def _filter_of(rows: DataFrame, n: int, level: int) -> np.ndarray:
-    """The Bloom filter of ``rows``, whose number is ``n``."""
-    n_words = max(1, math.ceil(n * BITS_PER_KEY / 64))
-
-    def emit(batches):
-        for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-            at = places(a, b, level, n_words * 64).ravel()
-            word, back = np.unique(at >> np.uint64(6), return_inverse=True)
-            bits = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(bits, back, np.uint64(1) << (at & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
-
-    merged = rows.mapInArrow(emit, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(n_words, np.uint64)
-    got = merged.toPandas()  # at most n_words rows, whose bytes the shards bound
-    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return out
-
-
 def build_cascade(keys: DataFrame) -> list[np.ndarray]:
     """The levels for a universe of keys (a, b, listed)."""
     levels: list[np.ndarray] = []
@@ -133,7 +91,7 @@ def build_cascade(keys: DataFrame) -> list[np.ndarray]:
         n = wrong.count()
         if n == 0:
             return levels
-        levels.append(_filter_of(wrong, n, len(levels)))
+        levels.append(filter_of(wrong, n, len(levels)))
 
 
 def listed_flags(rows: DataFrame, key: str, is_listed: Column, pass_bytes: int = PASS_BYTES) -> DataFrame:
