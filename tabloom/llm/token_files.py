@@ -39,8 +39,9 @@ LANES = 128
 BLOCK_IDS = 65_536
 GROUP = 16
 VOCABULARY = 49_408
-PIECE_CHARS = 8 << 20
-MEMORY = 800_000
+PIECE_CHARS = 4 << 20
+MEMORY = 400_000
+ENCODED_AT_ONCE = 10_000
 
 MAGIC = b"TKRC"
 HEAD = struct.Struct("<4sHHIIIII")  # magic, version, lanes, documents, ids, vocabulary, crc of ids, crc of the rest
@@ -261,11 +262,22 @@ def decode_blocks(coded: list[tuple[int, np.ndarray, np.ndarray]], vocabulary: i
     return made
 
 
+def _groups(sizes: list[int]) -> list[list[int]]:
+    """Blocks to code side by side: a block that is much longer than others goes alone, as all would take its room."""
+    long = [k for k, n in enumerate(sizes) if n > 2 * BLOCK_IDS]
+    rest = [k for k, n in enumerate(sizes) if n <= 2 * BLOCK_IDS]
+    return [[k] for k in long] + [rest] * bool(rest)
+
+
 def pack_blocks(blocks: list[list[np.ndarray]], vocabulary: int = VOCABULARY) -> list[bytes]:
     """The bytes of blocks of documents."""
     flat = [np.concatenate(docs) for docs in blocks]
+    coded: list = [None] * len(flat)
+    for group in _groups([len(ids) for ids in flat]):
+        for k, made in zip(group, encode_blocks([flat[k] for k in group], vocabulary)):
+            coded[k] = made
     out = []
-    for docs, ids, (sizes, words) in zip(blocks, flat, encode_blocks(flat, vocabulary)):
+    for docs, ids, (sizes, words) in zip(blocks, flat, coded):
         body = np.array([len(d) for d in docs], "<u4").tobytes() + sizes.astype("<u4").tobytes() + words.astype("<u2").tobytes()
         out.append(
             HEAD.pack(MAGIC, 1, LANES, len(docs), len(ids), vocabulary, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
@@ -285,8 +297,12 @@ def unpack_blocks(data: list[bytes]) -> list[list[np.ndarray]]:
         sizes = np.frombuffer(body, "<u4", lanes, 4 * n_docs)
         coded.append((n_ids, sizes, np.frombuffer(body, "<u2", -1, 4 * (n_docs + lanes))))
         checks.append(id_crc)
+    flat: list = [None] * len(coded)
+    for group in _groups([n for n, _, _ in coded]):
+        for k, ids in zip(group, decode_blocks([coded[k] for k in group], vocabulary)):
+            flat[k] = ids
     out = []
-    for ids, sizes, check in zip(decode_blocks(coded, vocabulary), lengths, checks):
+    for ids, sizes, check in zip(flat, lengths, checks):
         if zlib.crc32(ids.astype("<u4").tobytes()) != check:
             raise ValueError("damaged ids")
         out.append(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [])
@@ -305,7 +321,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.begin, self.size, self.every = (np.zeros(0, np.int64) for _ in range(3))
+        self.begin, self.size, self.every = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
     def _codes(self, pieces: list[str]) -> np.ndarray:
         """The numbers of pieces; new ones are encoded."""
@@ -313,12 +329,15 @@ class Encoder:
             self.forget()
         fresh = [p for p in pieces if p not in self.number]
         if fresh:
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            size = np.fromiter(map(len, made), np.int64, len(made))
+            sizes, found = [self.size], [self.every]
+            for k in range(0, len(fresh), ENCODED_AT_ONCE):
+                some = fresh[k : k + ENCODED_AT_ONCE]
+                made = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, made), np.int64, len(made)))
+                found.append(np.fromiter(chain.from_iterable(made), np.uint16, sizes[-1].sum()))
             self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
-            self.begin = np.concatenate([self.begin, len(self.every) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.every = np.concatenate([self.every, np.fromiter(chain.from_iterable(made), np.int64, size.sum())])
+            self.size, self.every = np.concatenate(sizes), np.concatenate(found)
+            self.begin = np.cumsum(self.size) - self.size
         return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -333,7 +352,7 @@ class Encoder:
         n = self.size[word]
         n_of = np.bincount(owner, n, len(texts)).astype(np.int64) + 1  # with the end id
         edge = np.concatenate([[0], np.cumsum(n_of)])
-        out = np.full(edge[-1], END_ID, np.int64)
+        out = np.full(edge[-1], END_ID, np.uint16)
         ends = np.cumsum(n)
         within = np.arange(ends[-1] if len(ends) else 0)
         out[within + np.repeat(owner, n)] = self.every[within + np.repeat(self.begin[word] - ends + n, n)]
@@ -397,7 +416,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocabular
                 ids, edge = encode(piece.column(1))
                 for k, name in enumerate(piece.column(0).to_pylist()):
                     names.append(name)
-                    held.append(ids[edge[k] : edge[k + 1]].astype(np.uint16))
+                    held.append(ids[edge[k] : edge[k + 1]].copy())
                     size += len(held[-1])
                     if size >= BLOCK_IDS:
                         ready.append((names, held))
