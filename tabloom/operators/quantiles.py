@@ -2,12 +2,14 @@
 
 Spark's ``percentile`` is exact, but keeps every distinct value of all columns in
 one task.  Here each task counts its distinct values, the counts are merged by
-value, and a window per column finds the wanted ranks: fine for the few values
-of a slice.  `exact_quantiles` narrows down to slices first: a bounded sketch
-(``approx_percentile``) cuts each column into about a thousand, one pass counts
-the values of every slice exactly, and only the slices that hold a wanted rank
-are looked at again.  Each round leaves about a thousandth of the values, so two
-or three rounds do for any table.  Only slice ends and counts reach the driver.
+value, and a window per column finds the wanted ranks: fine while the values are
+few.  Above that `exact_quantiles` narrows down first: a bounded sketch
+(``approx_percentile``) cuts each column into about a thousand slices, one pass
+counts the values of every slice exactly, and only the slices that hold a wanted
+rank are looked at again.  Each round leaves about a thousandth of the values, so
+two or three rounds do for any table.  Only slice ends and counts reach the
+driver.  Both ways give the same values; on 150,000 rows of 36 columns slicing
+takes four to seven times as long.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tabloom.session import merged
 
-DIRECT_VALUES = 100_000  # values (of all columns) that are put in order directly
+DIRECT_VALUES = 20_000_000  # values (rows x columns) that are put in order directly
 ROWS_COUNTED_AT_ONCE = 200_000
 SLICES = 1000
 SKETCH_ACCURACY = 10_000
