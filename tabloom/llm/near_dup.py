@@ -48,7 +48,7 @@ BLOCK_REPS = 256
 BAND_REPS = 2048
 NEXT_BANDS = 8
 DEVIATIONS = 5.0
-PIECE_CHARS = 4 << 20
+PIECE_CHARS = 2 << 20
 # Odd multipliers that mix 64-bit hashes.
 MIX_A, MIX_B, STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 

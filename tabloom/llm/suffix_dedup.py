@@ -39,7 +39,7 @@ LENGTH = 400
 GRAM = 64
 CELLS = (32, 8, 1)
 GROUP = 64
-SEARCH_BYTES = 2 << 20
+SEARCH_BYTES = 1 << 20
 CHUNK = 1 << 21  # bytes of text in one go; places take PLACE_BITS bits
 PLACE_BITS = 22
 # Odd multipliers of the rolling hash and its mixer.
