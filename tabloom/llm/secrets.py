@@ -1,7 +1,8 @@
 """Secret scans: a battery of randomness tests over long tokens, with false-discovery control.
 
 A candidate is a token of at least ``MIN_LENGTH`` code characters outside the
-spans of the base rules.  Its encoding (hex, base32, base36, base62, base64) is
+spans of the base rules; in ``NAME=value`` name and value are tokens of their
+own.  Its encoding (hex, base32, base36, base62, base64) is
 inferred from its characters.  A secret must look uniform: chi-squared over the
 encoding's alphabet, Wald-Wolfowitz runs about the middle of the alphabet and
 lag-one serial correlation are combined by Fisher's method, and a token that
@@ -43,7 +44,8 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}+" % MIN_LENGTH)
+# '=' only pads the end of a token: before more code characters it parts a name from a value.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}+(?:=+(?![A-Za-z0-9+/_=-]))?" % MIN_LENGTH)
 
 # Per mille of the letters a to z in English text, rounded.
 LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
@@ -131,7 +133,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     for m in CANDIDATE.finditer(text):
         token = m.group().rstrip("=")
         alphabet = encoding_of(token)
-        if len(token) < MIN_LENGTH or alphabet is None or overlaps(m.start(), m.end(), base):
+        if alphabet is None or overlaps(m.start(), m.end(), base):
             continue
         grade = min(LAST_CLASS, int(-ordinary_p(token, alphabet) * CLASSES_PER_10))
         if grade and uniform_p(token, alphabet) < UNIFORM_LEVEL:

@@ -132,3 +132,11 @@ def test_secret_rows(spark):
     assert rows[len(ODD)] == [(3, 10, 10 + len(key))]
     assert all(not v for k, v in rows.items() if k != len(ODD))
     assert secrets.secret_spans(frame(spark, [])).count() == 0
+
+
+def test_values_after_an_equals_sign_are_found(spark):
+    aws, sig = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "qZ7fK2mXw9LbT4vRc8NdP1sGh6Jyu3A"
+    texts = [f"AWS_SECRET_ACCESS_KEY={aws}", f"see https://host/a?sig={sig}== there", f"DB_PASS={sig}", f"={sig}=", f"a={aws}=b={sig}", "a=b=c=d=e=f=g=h=i=j=k="]
+    want = [[(22, 62)], [(23, 23 + len(sig) + 2)], [(8, 8 + len(sig))], [(1, 2 + len(sig))], [(2, 42), (45, 45 + len(sig))], []]
+    rows = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.secret_spans(frame(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == [[(3, *x) for x in w] for w in want]
