@@ -14,6 +14,8 @@ from tabloom.llm import decontaminate, line_dedup, near_dup, packing, quality
 from tabloom.llm.text import read_table
 from tabloom.session import write_and_reread
 
+SIMILARITY = 80  # in hundredths, of five-word shingles: what near_dedup links
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules accept."""
@@ -28,7 +30,7 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    return near_dup.keep_first(docs)
+    return near_dup.keep_first(docs, SIMILARITY)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def leak_query(spark, sf_dir):
 
 
 def near_dup_query(spark, sf_dir):
-    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), 85)
 
 
 NEAR_DUP_SQL = rf"""

@@ -2,9 +2,10 @@
 
 A document is its set of distinct word shingles, each a 64-bit hash.  The first
 seven bits choose one of 128 buckets; a bucket keeps its least hash as a
-16-bit register of leading zeros and ten mantissa bits.  Registers are banded
-by fours: documents that share a band are candidates.  At a similarity of 0.85
-a pair misses all 32 bands with a probability below 1e-10.
+16-bit register of leading zeros and ten mantissa bits.  Documents that share a
+band of registers are candidates.  A band is as wide as the similarity allows
+for a pair to miss all bands with a probability below 1e-10: four registers and
+32 bands at 0.85, three and 43 at 0.80.
 
 Equal sets are one class, and only its smallest doc_id goes on.  In a band a
 candidate is compared with two elected members, the one that is central and one
@@ -37,12 +38,11 @@ from tabloom.llm.text import matched, picked, whole_text
 from tabloom.session import write_and_reread
 
 SIZE = 5
-SIMILARITY = 85  # in hundredths
+SIMILARITY = 85  # in hundredths, unless another one is given
 BUCKET_BITS = 7
 MANTISSA_BITS = 10
-BAND = 4
 BUCKETS = 1 << BUCKET_BITS
-BANDS = BUCKETS // BAND
+MISSED = 1e-10
 EMPTY = 0xFFFF
 BLOCK_REPS = 256
 BAND_REPS = 2048
@@ -124,14 +124,26 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return np.clip((equal - chance) / np.maximum(used - chance, 1e-9), 0, 1), used
 
 
-def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash per band, and whether the band has a hash at all."""
-    grouped = regs.reshape(len(regs), BANDS, BAND)
-    packed = np.zeros((len(regs), BANDS), np.uint64)
-    for k in range(BAND):
+def band_width(similarity: int) -> int:
+    """Registers in a band: the most, four at most, with which a pair at the similarity is not missed."""
+    fits = [w for w in range(1, 5) if (1 - (similarity / 100) ** w) ** (BUCKETS // w) < MISSED]
+    return max(fits, default=1)
+
+
+def band_count(similarity: int) -> int:
+    return -(-BUCKETS // band_width(similarity))
+
+
+def band_keys(regs: np.ndarray, similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """A hash per band, and whether the band has a hash at all.  The last band may be narrower."""
+    width, bands = band_width(similarity), band_count(similarity)
+    filled = np.pad(regs, ((0, 0), (0, width * bands - BUCKETS)), constant_values=EMPTY)
+    grouped = filled.reshape(len(regs), bands, width)
+    packed = np.zeros((len(regs), bands), np.uint64)
+    for k in range(width):
         packed = (packed << np.uint64(16)) | grouped[:, :, k].astype(np.uint64)
     with np.errstate(over="ignore"):
-        keys = mixed(mixed(packed) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(STEP))
+        keys = mixed(mixed(packed) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(STEP))
     return keys, (grouped != EMPTY).any(axis=2)
 
 
@@ -177,7 +189,7 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
 
 
-def emissions(reps: DataFrame) -> DataFrame:
+def emissions(reps: DataFrame, similarity: int) -> DataFrame:
     """key, band and rep of every band that holds a hash.
 
     A set so small that one differing shingle is too much links with nothing
@@ -186,15 +198,15 @@ def emissions(reps: DataFrame) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            keys, real = band_keys(_matrix(batch.column(1)))
+            keys, real = band_keys(_matrix(batch.column(1)), similarity)
             rows, cols = np.nonzero(real)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[rows, cols].view(np.int64)), pa.array(cols, pa.int32()), batch.column(0).take(pa.array(rows))],
                 ["key", "band", "rep"],
             )
 
-    least = SIMILARITY / (100 - SIMILARITY)  # n / (n + 1) must reach the similarity
-    return reps.where(F.col("n_shingles") >= least).select("rep", "regs").mapInArrow(emit, "key long, band int, rep long")
+    # n / (n + 1) must reach the similarity
+    return reps.where(F.col("n_shingles") * (100 - similarity) >= similarity).select("rep", "regs").mapInArrow(emit, "key long, band int, rep long")
 
 
 def shared_bands(rows: DataFrame) -> DataFrame:
@@ -220,20 +232,20 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
 
 
-def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     """The pairs whose estimate may still mean a link, by far more than its error."""
     lean = reps.select("rep", "n_shingles", "regs")
     both = pairs
     for side in ("a", "b"):
         both = both.join(lean.select(F.col("rep").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("regs").alias(f"r{side}")), side)
     # sizes alone exclude a pair whose smaller set is too small
-    both = both.where(f"100 * least(na, nb) >= {SIMILARITY} * greatest(na, nb)").select("a", "b", "na", "nb", "ra", "rb")
+    both = both.where(f"100 * least(na, nb) >= {similarity} * greatest(na, nb)").select("a", "b", "na", "nb", "ra", "rb")
 
     def judge(batches):
         for batch in batches:
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             guess, used = estimate(_matrix(batch.column(4)), _matrix(batch.column(5)), na, nb)
-            j = SIMILARITY / 100
+            j = similarity / 100
             ok = guess >= j - DEVIATIONS * np.sqrt(j * (1 - j) / np.maximum(used, 1))
             yield batch.select([0, 1]).filter(pa.array(ok))
 
@@ -256,7 +268,7 @@ def set_table(texts: DataFrame, needed: DataFrame) -> DataFrame:
     return write_and_reread(held, "dedup-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     both = pairs
     for side in ("a", "b"):
@@ -268,7 +280,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2), batch.column(3)):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(u) + len(v) - len(np.unique(np.concatenate([u, v])))
-                ok.append(100 * common >= SIMILARITY * (len(u) + len(v) - common))
+                ok.append(100 * common >= similarity * (len(u) + len(v) - common))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
@@ -317,10 +329,10 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs``.
 
-    Documents are linked where the shingle sets have at least the similarity;
+    Documents are linked where the shingle sets have at least ``similarity`` hundredths in common;
     component_id is the smallest doc_id reachable, kept whether it is the own
     one.  Null, empty and wordless texts have empty sets and are linked with
     nothing.  Rows repeated under one doc_id are copies and all get its
@@ -334,7 +346,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = matched(worded, classes, "da", "db").select("doc_id", "rep", "n_shingles", "regs")
     reps = write_and_reread(own.where("doc_id = rep").drop("doc_id").dropDuplicates(["rep"]), "dedup-reps")
     texts = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("rep"), whole_text().alias("text"))
-    roots = link_classes(reps, texts)
+    roots = link_classes(reps, texts, similarity)
     # the smallest doc_id of a component is the smallest of its representatives
     least = roots.groupBy("root").agg(F.min("rep").alias("least"))
     named = matched(roots, least, "root").select("rep", "least")
@@ -346,23 +358,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def link_classes(reps: DataFrame, texts: DataFrame) -> DataFrame:
+def link_classes(reps: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """rep and root of the classes that have a link."""
-    shared = write_and_reread(shared_bands(emissions(reps)), "dedup-bands")
-    close = write_and_reread(likely(star_pairs(shared), reps), "dedup-likely")
+    shared = write_and_reread(shared_bands(emissions(reps, similarity)), "dedup-bands")
+    close = write_and_reread(likely(star_pairs(shared), reps, similarity), "dedup-likely")
     if close.isEmpty():
         stars, roots = close, close.select(F.col("a").alias("rep"), F.col("b").alias("root"))
     else:
         needed = write_and_reread(close.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "dedup-needed")
-        stars = write_and_reread(verified(close, set_table(texts, needed)), "dedup-stars")
+        stars = write_and_reread(verified(close, set_table(texts, needed), similarity), "dedup-stars")
         roots = components(stars)
     # a band that holds several components may hide a link between them
-    edges = write_and_reread(cloud_edges(shared.select("key", "band", "rep"), roots, reps).distinct(), "dedup-open")
+    edges = write_and_reread(cloud_edges(shared.select("key", "band", "rep"), roots, reps, similarity).distinct(), "dedup-open")
     if edges.isEmpty():
         return roots
     clouds = components(edges).withColumnRenamed("root", "cloud")
     members = write_and_reread(_labelled(clouds, roots), "dedup-clouds")
-    crossing = write_and_reread(cross_links(members, reps, texts), "dedup-crossing")
+    crossing = write_and_reread(cross_links(members, reps, texts, similarity), "dedup-crossing")
     return roots if crossing.isEmpty() else components(stars.select("a", "b").union(crossing))
 
 
@@ -372,7 +384,7 @@ def _open(rows: DataFrame) -> DataFrame:
     return matched(rows, several.where("low < high").select("key", "n"), "key")
 
 
-def cloud_edges(shared: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
+def cloud_edges(shared: DataFrame, roots: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) that join all pairs of different components whose registers are alike enough for a link.
 
     A task looks at one band, or at two parts of one, and gives back a spanning
@@ -391,13 +403,13 @@ def cloud_edges(shared: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFra
         dealt = matched(
             ranged.select(F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("task"), "rep", "root"), lean, "rep"
         )
-        parts.append(dealt.repartition("task").sortWithinPartitions("task").select("task", "rep", "root", "regs").mapInArrow(_spanning, "a long, b long"))
+        parts.append(dealt.repartition("task").sortWithinPartitions("task").select("task", "rep", "root", "regs").mapInArrow(_spanning(similarity), "a long, b long"))
         large = rows.where(F.col("n") > BAND_REPS)
         if depth == 2 or large.isEmpty():
             break
         some = reps.join(large.select("rep").distinct(), "rep", "left_semi")
-        near = emissions(some).select(F.col("key").alias("key2"), F.col("band").alias("band2"), "rep")
-        finer = large.join(near, "rep").where(f"pmod(band2 - band, {BANDS}) BETWEEN 1 AND {NEXT_BANDS}")
+        near = emissions(some, similarity).select(F.col("key").alias("key2"), F.col("band").alias("band2"), "rep")
+        finer = large.join(near, "rep").where(f"pmod(band2 - band, {band_count(similarity)}) BETWEEN 1 AND {NEXT_BANDS}")
         rows = write_and_reread(
             _open(finer.select(F.xxhash64("key", "key2").alias("key"), F.col("band2").alias("band"), "rep", "root")), "dedup-rows"
         )
@@ -407,9 +419,9 @@ def cloud_edges(shared: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFra
     return out
 
 
-def _spanning(batches):
+def _spanning(similarity: int):
     """Spanning forests of the alike pairs across roots, of rows (task, rep, root, regs) in the order of tasks."""
-    held: list[pa.RecordBatch] = []
+    share = similarity / 100
 
     def forest(rep: np.ndarray, root: np.ndarray, regs: np.ndarray) -> list[tuple[int, int]]:
         parent = list(range(len(rep)))
@@ -426,7 +438,7 @@ def _spanning(batches):
             part = slice(begin, begin + 64)
             equal = ((regs[part, None, :] == regs[None, begin:, :]) & live[part, None, :]).sum(axis=2)
             used = (live[part, None, :] | live[None, begin:, :]).sum(axis=2)
-            alike = equal >= used * (SIMILARITY / 100) - DEVIATIONS * np.sqrt(SIMILARITY / 100 * (1 - SIMILARITY / 100) * used)
+            alike = equal >= used * share - DEVIATIONS * np.sqrt(share * (1 - share) * used)
             alike &= root[part, None] != root[None, begin:]
             for i, j in zip(*np.nonzero(alike)):
                 x, y = top(begin + int(i)), top(begin + int(j))
@@ -443,19 +455,23 @@ def _spanning(batches):
         out = [e for i, j in zip(cuts, cuts[1:]) for e in forest(rep[i:j], root[i:j], regs[i:j])]
         return pa.RecordBatch.from_arrays([pa.array([min(e) for e in out], pa.int64()), pa.array([max(e) for e in out], pa.int64())], ["a", "b"])
 
-    for batch in batches:
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        task = table.column("task").to_numpy()
-        whole = int(np.searchsorted(task, task[-1]))  # the last task may go on in the next batch
-        if whole:
-            yield finish(table.slice(0, whole))
-            held = table.slice(whole).to_batches()
-    if held:
-        yield finish(pa.Table.from_batches(held))
+    def spanning(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            task = table.column("task").to_numpy()
+            whole = int(np.searchsorted(task, task[-1]))  # the last task may go on in the next batch
+            if whole:
+                yield finish(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+        if held:
+            yield finish(pa.Table.from_batches(held))
+
+    return spanning
 
 
-def cross_links(members: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def cross_links(members: DataFrame, reps: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """Links between components of a cloud: (a, b), one for each two components of each two blocks.
 
     ``members`` has rep, cloud and root.  A cloud is cut into blocks of about
@@ -466,7 +482,7 @@ def cross_links(members: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFr
     """
     sized = matched(members, reps.select("rep", "n_shingles"), "rep")
     whole = sized.groupBy("cloud", "root").agg(F.count(F.lit(1)).alias("of_root"))
-    step = float(-np.log(SIMILARITY / 100))
+    step = float(-np.log(similarity / 100))
     graded = matched(sized, whole, "cloud", "root").select(
         "rep",
         "cloud",
@@ -506,7 +522,7 @@ def cross_links(members: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFr
         common = common_counts([values[i] for i in left], [values[i] for i in right])
         size = np.array([len(v) for v in values])
         union = size[left][:, None] + size[right][None, :] - common
-        i, j = np.nonzero((100 * common >= SIMILARITY * union) & (root[left][:, None] != root[right][None, :]))
+        i, j = np.nonzero((100 * common >= similarity * union) & (root[left][:, None] != root[right][None, :]))
         found = {}
         for x, y in zip(left[i].tolist(), right[j].tolist()):
             found.setdefault((min(root[x], root[y]), max(root[x], root[y])), (min(rep[x], rep[y]), max(rep[x], rep[y])))
@@ -534,11 +550,11 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int =
     return out.astype(np.int64)
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the row of its smallest doc_id.
 
     Of rows repeated under one doc_id one stays; rows without doc_id all stay.
     """
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs, similarity).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
     some = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     return some.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))

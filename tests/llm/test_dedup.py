@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from corpus import ODD, frame, words
 
+import corpus_pipeline
 from tabloom.llm import line_dedup, near_dup, suffix_dedup
 
 
@@ -167,3 +168,34 @@ def test_repeat_rows(spark):
     got = suffix_dedup.remove_repeats(frame(spark, [long, long, long, None], [7, 7, None, None])).collect()
     assert sorted((str(r["doc_id"]), r["n_removed"] > 0) for r in got) == [("7", True), ("7", True), ("None", False), ("None", False)]
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
+
+
+def linked_at(texts, similarity):
+    """doc_ids of each component of texts under a similarity in hundredths, by all pairs."""
+    sets = [shingles(t) for t in texts]
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= similarity * len(sets[i] | sets[j]) and comp[i] != comp[j]:
+                low, high = sorted((comp[i], comp[j]))
+                comp = [low if c == high else c for c in comp]
+    return comp
+
+
+def test_similarity_is_an_argument(spark):
+    rng = random.Random(11)
+    texts = clouds(rng)
+    for n in (30, 54, 100, 300):  # a changed tail: at 0.80 and above, but below 0.85
+        base = words(rng, n + 4)
+        changed = n - round(n / 1.11)
+        texts += [" ".join(base), " ".join(base[:-changed] + words(rng, changed))]
+        x, y = shingles(texts[-2]), shingles(texts[-1])
+        assert 80 * len(x | y) <= 100 * len(x & y) < 85 * len(x | y)
+    docs = frame(spark, texts)
+    for similarity in (85, 80):
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, similarity).collect()}
+        assert [got[i] for i in range(len(texts))] == linked_at(texts, similarity)
+    want = [i for i, c in enumerate(linked_at(texts, 80)) if i == c]
+    assert sorted(r["doc_id"] for r in near_dup.keep_first(docs, 80).collect()) == want
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
