@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.text import picked, whole_text
+from tabloom.llm.text import lookup_key, picked, same_key, whole_text
 from tabloom.session import write_and_reread
 
 K1, B = 1.2, 0.75
@@ -288,6 +288,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a verified test item; rows without doc_id are looked up like others."""
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    """The rows of ``docs`` without a verified test item; each row without doc_id is looked up by its own text."""
+    key = lookup_key(docs, "text")
+    leaks = find_leaks(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, same_key(key, leaks["_leak"]), "left_anti")

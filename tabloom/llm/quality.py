@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.text import SPACE, picked, whole_text, words_of
+from tabloom.llm.text import SPACE, lookup_key, picked, same_key, whole_text, words_of
 from tabloom.session import write_and_reread
 
 # One unit of a statistic is 1 / SCALE.
@@ -299,6 +299,9 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns; rows without doc_id are judged as one more document."""
-    good = quality_verdicts(docs).where("kept").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_good"]), "left_semi")
+    """The rows of ``docs`` that pass, with all their columns; each row without doc_id is judged by itself."""
+    content = ("text", "lang", "source")
+    key = lookup_key(docs, *content)
+    judged = quality_verdicts(docs.select(key.alias("doc_id"), *content))
+    good = judged.where("kept").select(F.col("doc_id").alias("_good")).distinct()
+    return docs.join(good, same_key(key, good["_good"]), "left_semi")

@@ -26,6 +26,21 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def lookup_key(docs: DataFrame, *content: str) -> Column:
+    """What the verdict on a row is looked up by: its doc_id, and for a row without one the ``content`` it is judged by.
+
+    Rows without doc_id thus share a verdict only where it is the same one.
+    """
+    parts = [F.sha2(whole_text(f"`{c}`"), 256) for c in content]
+    own = F.when(docs["doc_id"].isNull(), F.sha2(F.concat(*parts), 256))
+    return F.struct(docs["doc_id"].alias("id"), own.alias("content"))
+
+
+def same_key(key: Column, other: Column) -> Column:
+    """Whether two keys of `lookup_key` are one."""
+    return key["id"].eqNullSafe(other["id"]) & key["content"].eqNullSafe(other["content"])
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -94,3 +94,20 @@ def test_stages_take_odd_rows(spark, sf_dir, name):
         if name != "packing":
             assert out.columns == docs.columns
         out.collect()
+
+
+def test_rows_without_id_are_judged_one_by_one(spark):
+    rng = random.Random(12)
+    good = [" ".join(words(rng, rng.randint(60, 200))) + "." for _ in range(60)]
+    junk = [" ".join(w + "###" for w in words(rng, 80)) for _ in range(3)]
+    item = " ".join(words(rng, 12)) + ". " + " ".join(words(rng, 8)) + "."
+    leaking = good[0] + " " + item
+    texts = [*good, good[1], *junk, None, leaking]
+    ids = [*range(50), *[None] * 10, None, None, None, 70, None, None]
+    docs = frame(spark, texts, ids)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in quality.keep_good(docs).collect())
+    assert kept == sorted((str(i), t) for i, t in zip(ids, texts) if t is not None and t not in junk)
+    benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
+    clean = decontaminate.drop_leaks(docs, benchmark)
+    assert clean.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in clean.collect()) == sorted((str(i), str(t)) for i, t in zip(ids, texts) if t != leaking)
