@@ -4,8 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, line_dedup, near_dup, packing, pii, quality, quality_sql, secrets, spans, suffix_dedup, token_files, url_filter
-from tabloom.llm.text import read_table, sha256_of, whole_text
+from tabloom.llm import (
+    decontaminate,
+    infill,
+    language,
+    line_dedup,
+    merkle,
+    near_dup,
+    packing,
+    pii,
+    quality,
+    quality_sql,
+    secrets,
+    spans,
+    suffix_dedup,
+    token_files,
+    url_filter,
+)
+from tabloom.llm.text import ascii_lower, read_table, sha256_of, whole_text
 from tabloom.plans.registry import Catalog
 from tabloom.session import shared_path
 
@@ -139,6 +155,76 @@ FROM d JOIN rest USING (doc_id) LEFT JOIN sums USING (doc_id)
 """
 
 
+def infill_query(spark, sf_dir):
+    forms = infill.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    return forms.withColumn("output_sha256", sha256_of(F.col("output"))).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        "output_sha256",
+        sha256_of(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+INFILL_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('1:', doc_id)) AS h FROM documents),
+drawn AS (SELECT doc_id, t, length(t) AS n, [CAST('0x' || h[8 * i + 1 : 8 * i + 8] AS BIGINT) FOR i IN range(4)] AS r FROM d),
+cut AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+    WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cut)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+def merkle_query(spark, sf_dir):
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    found = merkle.merkle_manifest(read_table(spark, sf_dir, "documents"), tampered)
+    proof = sha256_of(merkle.proof_text(F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256(concat({', '.join(parts)}))"
+
+
+# The crc32 is folded bit by bit; 3988292384 is its polynomial, 0xEDB88320, and 4294967295 its start and end mask.
+MERKLE_SQL = f"""
+WITH RECURSIVE crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+    lambda x, c: list_reduce(list_prepend(xor(x, c), range(8)), lambda y, k: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) AS crc FROM documents GROUP BY doc_id),
+leaves AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, {_leaf_sql("text")} AS h,
+  CASE WHEN crc % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf_sql("text")} END AS copy
+  FROM documents JOIN crc USING (doc_id)),
+tree(l, g, i, h, n) AS (SELECT 0, g, i, h, count(*) OVER (PARTITION BY g) FROM leaves
+  UNION ALL SELECT l + 1, g, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM tree WHERE n > 1 GROUP BY l, g, i // 8),
+subroots AS (SELECT g, h, l, row_number() OVER (ORDER BY g) - 1 AS i FROM tree WHERE n = 1),
+top(l, i, h, n) AS (SELECT 0, i, h, count(*) OVER () FROM subroots
+  UNION ALL SELECT l + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM top WHERE n > 1 GROUP BY l, i // 8),
+runs AS MATERIALIZED (SELECT l, g, i // 8 AS r, list(h ORDER BY i) AS hs FROM tree WHERE n > 1 GROUP BY l, g, i // 8
+  UNION ALL SELECT s.l + t.l, s.g, t.r, t.hs FROM (SELECT l, i // 8 AS r, list(h ORDER BY i) AS hs, list(i) AS members FROM top WHERE n > 1 GROUP BY l, i // 8) t
+    JOIN subroots s ON s.i // (8 ** (t.l + 1))::BIGINT = t.r),
+fold(l, doc_id, g, i, s, h, proof) AS (SELECT 0, doc_id, leaves.g, leaves.i, subroots.i, copy, '' FROM leaves JOIN subroots USING (g)
+  UNION ALL SELECT f.l + 1, doc_id, f.g, CASE WHEN f.l + 1 = sub.l THEN s ELSE f.i // 8 END, s,
+    sha256(array_to_string(hs[1 : f.i % 8], '') || f.h || array_to_string(hs[f.i % 8 + 2 :], '')),
+    proof || array_to_string(hs[1 : f.i % 8], '') || array_to_string(hs[f.i % 8 + 2 :], '')
+  FROM fold f JOIN subroots sub ON sub.g = f.g JOIN runs ON runs.l = f.l AND runs.g = f.g AND runs.r = f.i // 8),
+ends AS (SELECT doc_id, arg_max(h, l) AS folded_root, sha256(arg_max(proof, l)) AS proof_sha256 FROM fold GROUP BY doc_id)
+SELECT doc_id, leaves.h AS leaf, subroots.h AS subroot, top.h AS root, proof_sha256, folded_root, folded_root = top.h AS verified
+FROM leaves JOIN subroots USING (g) JOIN ends USING (doc_id) CROSS JOIN (SELECT h FROM top WHERE n = 1) top
+"""
+
+
+def language_query(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return language.predict_languages(docs, language.fit_languages(docs))
+
+
 def register(catalog: Catalog) -> None:
     catalog.add("op1_pii", pii_query)
     catalog.add("op2_near_dup", near_dup_query, NEAR_DUP_SQL)
@@ -150,3 +236,6 @@ def register(catalog: Catalog) -> None:
     catalog.add("op8_secret_scan", secret_query)
     catalog.add("op9_token_files", token_query)
     catalog.add("op10_decontamination", leak_query)
+    catalog.add("op11_infill", infill_query, INFILL_SQL)
+    catalog.add("op12_merkle", merkle_query, MERKLE_SQL)
+    catalog.add("op13_language_id", language_query)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +30,19 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def lots(batch: pa.RecordBatch, most_bytes: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``most_bytes`` in the named column, or one row with more."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most_bytes:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def lookup_key(docs: DataFrame, *content: str) -> Column:
     """What the verdict on a row is looked up by: its doc_id, and for a row without one the ``content`` it is judged by.
 

@@ -5,7 +5,7 @@ from compare import connect, differences
 
 from __spark_entry__ import oracle_sql, queries
 
-NAMES = ("op2_near_dup", "op4_line_dedup", "op5_suffix_dedup", "op6_url_filter", "op7_quality_rules")
+NAMES = ("op2_near_dup", "op4_line_dedup", "op5_suffix_dedup", "op6_url_filter", "op7_quality_rules", "op11_infill", "op12_merkle")
 
 
 @pytest.mark.parametrize("name", NAMES)
