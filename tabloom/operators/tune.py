@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.metrics import rmse
+from tabloom.operators.boost import Booster, BoosterModel, fit_together
 
 Parameters = dict[str, float | int]
 TRIAL_SCHEMA = "trial_id int, params map<string,double>, fold int, score double"
@@ -133,6 +134,38 @@ def grid_search(
     return search.bestModel, trials
 
 
+def booster_grid(
+    df: DataFrame,
+    booster: Booster,
+    candidates: Sequence[Parameters],
+    fold_column: str,
+    folds: int,
+    models_at_once: int = 64,
+) -> tuple[BoosterModel, DataFrame]:
+    """Cross-validated search over boosters; the best setting refitted on all of ``df``.
+
+    All folds of up to ``models_at_once`` / ``folds`` candidates grow in the same passes over one binned
+    table.  Returns the model and (trial_id, params, fold, score), the score being the RMSE on the fold with
+    the trees that predict: all of them, or with ``patience`` those up to the best iteration.  Persist ``df``.
+    """
+    spark = df.sparkSession
+    jobs = [(t, k) for t in range(len(candidates)) for k in range(folds)]
+    settings = [booster.with_params(**c) for c in candidates]
+    rows = []
+    portion = max(1, models_at_once // folds) * folds
+    for first in range(0, len(jobs), portion):
+        part = jobs[first : first + portion]
+        models = fit_together(df, [settings[t] for t, _ in part], [k for _, k in part], F.col(fold_column))
+        for (trial, fold), model in zip(part, models, strict=True):
+            shown = {name: float(value) for name, value in candidates[trial].items()}
+            errors = {iteration: e for iteration, split, e, _ in model.curve if split == "validation"}
+            if model.best_iteration in errors:  # a fold without rows has no score
+                rows.append((trial, shown, fold, errors[model.best_iteration]))
+    trials = spark.createDataFrame(rows, TRIAL_SCHEMA)
+    best = best_trial(trials).first()["trial_id"]
+    return replace(settings[best], patience=None).fit(df), trials
+
+
 def holdout_rmse(scored: DataFrame, label: str, prediction: str = "prediction") -> float:
     """RMSE of a scored frame as a number, for use inside an objective."""
     return scored.agg(rmse(F.col(label), F.col(prediction)).alias("rmse")).first()["rmse"]

@@ -22,7 +22,7 @@ from tabloom.operators.bayes import BayesianRidge, gram
 from tabloom.operators.boost import CategoryBooster, leaf_booster, level_booster, symmetric_booster
 from tabloom.operators.forest import random_forest
 from tabloom.operators.gaussian import GaussianProcess
-from tabloom.operators.histtree import Binning, SplitRules, Tree, binned_table, candidate_splits, histogram
+from tabloom.operators.histtree import Binning, Growth, SplitRules, TreeTask, binned_table, candidate_splits
 from tabloom.operators.linear import ElasticNet, Lasso, Ols, Ridge, polynomial_regression
 from tabloom.operators.prepare import MedianImputer, StandardScale
 from tabloom.plans.clean_queries import PLOTS_CTE
@@ -456,16 +456,14 @@ STUMP_COLUMN = "overall_quality"
 def _stump_table(spark, d):
     df = property_table(spark, d).select("row_id", "target", STUMP_COLUMN, "month_sold").filter(~in_holdout())
     binning = Binning.fit(df, [STUMP_COLUMN, "month_sold"], 64)
-    return binned_table(df, binning, "target", "row_id", 0.0), binning
+    return binned_table(df, binning, "target", "row_id", [0.0]), binning
 
 
 def _first_level(spark, d):
     """The histogram and the gain of every split of a root node, with L2 penalty 1."""
     table, binning = _stump_table(spark, d)
-    sums = histogram(
-        table, 2, binning.sizes, Tree(), [0], [0, 1], lambda b: (b.state - b.y, b.y * 0 + 1.0, b.state - b.y)
-    )
-    splits = candidate_splits(sums, SplitRules(l2=1.0)).filter(F.col("gain") > float("-inf"))
+    task = TreeTask(Growth(), SplitRules(l2=1.0), lambda b, margin: (margin - b.y, None, margin - b.y), (0, 1))
+    splits = candidate_splits(table, binning, task).filter(F.col("gain") > float("-inf"))
     names = F.when(F.col("feature") == 0, STUMP_COLUMN).otherwise("month_sold")
     return splits.select(
         names.alias("feature_name"),
@@ -542,7 +540,7 @@ def _stump_rounds_sql() -> str:
 def _training_log(spark, d):
     with reused(_feature_table(spark, d)) as df:
         model = level_booster(FEATURES, "label", **SMALL).fit(df, F.col("is_holdout"))
-    return rounded(model.training_log(spark))
+    return rounded(model.training_log(spark).drop("elapsed"))
 
 
 def _early_stopping(spark, d):

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: the JVM leaves methods above this many bytes of code to its interpreter.
 JIT_METHOD_BYTES = "8000"
+# What a Python worker is handed at once: texts can be long, so rows alone are no measure.
+ARROW_BATCH_BYTES = str(4 << 20)
 
 MERGE_WAYS = 64
 
@@ -36,6 +38,7 @@ def tune_session(spark: SparkSession) -> None:
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
 
 
 def build_session(app_name: str = "tabloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,6 +53,7 @@ def build_session(app_name: str = "tabloom", master: str | None = None, **conf:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_BYTES)
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
     )
     if master:
         builder = (
