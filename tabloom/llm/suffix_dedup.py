@@ -25,20 +25,22 @@ is left.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.text import matched, picked, whole_text
-from tabloom.session import write_and_reread
+from tabloom.session import release, write_and_reread
 
 LENGTH = 400
 GRAM = 64
 CELLS = (32, 8, 1)
 GROUP = 64
+OUTPUT_BYTES = 1 << 20  # bytes of pieces in one batch that a task hands on
 SEARCH_BYTES = 1 << 20
 CHUNK = 1 << 21  # bytes of text in one go; places take PLACE_BITS bits
 PLACE_BITS = 22
@@ -204,30 +206,47 @@ def runs(mask: np.ndarray) -> list[tuple[int, int]]:
 PIECE = "id long, low long, high long, at long, raw binary, done boolean"
 
 
+CELL = PIECE + ", ka long, kb long, ca long, cb long"
+
+
+def _in_lots(rows: Iterator[tuple], schema: str, raw: int) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about ``OUTPUT_BYTES``; field ``raw`` holds the bytes."""
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [part.split() for part in schema.split(", ")]
+    held, size = [], 0
+
+    def made():
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*held), fields)], [name for name, _ in fields]
+        )
+
+    for row in rows:
+        held.append(row)
+        size += len(row[raw]) + 8 * len(row)
+        if size >= OUTPUT_BYTES:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
 def _cells(pieces: DataFrame, size: int, length: int, reach: int) -> DataFrame:
     """Pieces cut into cells of ``size`` starts aligned at the anchor, with digests of the core and of the piece."""
 
     def cut(batches):
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                first = (r["low"] - r["at"] + reach) // size
-                last = (r["high"] - r["at"] + reach) // size
-                for cell in range(first, last + 1):
-                    c0 = r["at"] + cell * size - reach  # starts of the whole cell
-                    low, high = max(r["low"], c0), min(r["high"], c0 + size - 1)
-                    raw = r["raw"][low - r["low"] : high - r["low"] + length]
+            columns = [batch.column(i) for i in range(6)]
+            for name, low_, high_, at, raw_, done in (tuple(c[k].as_py() for c in columns) for k in range(batch.num_rows)):
+                for cell in range((low_ - at + reach) // size, (high_ - at + reach) // size + 1):
+                    c0 = at + cell * size - reach  # starts of the whole cell
+                    low, high = max(low_, c0), min(high_, c0 + size - 1)
+                    raw = raw_[low - low_ : high - low_ + length]
                     core = raw[c0 + size - 1 - low : c0 - low + length]
                     ka, kb = digest(core + cell.to_bytes(4, "little"))
-                    pa_, pb = digest(raw + (low - r["at"]).to_bytes(4, "little", signed=True))
-                    out.append((r["id"], low, high, r["at"], raw, r["done"], ka, kb, pa_, pb))
-            if out:
-                cols = list(zip(*out))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()] + [pa.int64()] * 4
-                names = ["id", "low", "high", "at", "raw", "done", "ka", "kb", "ca", "cb"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+                    ca, cb = digest(raw + (low - at).to_bytes(4, "little", signed=True))
+                    yield name, low, high, at, raw, done, ka, kb, ca, cb
 
-    return pieces.mapInArrow(cut, PIECE + ", ka long, kb long, ca long, cb long")
+    return pieces.mapInArrow(lambda batches: _in_lots(cut(batches), CELL, 4), CELL)
 
 
 def _classes(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -266,27 +285,36 @@ def _search(rows: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """id, low and high: runs of starts of repeated windows of the texts (id, text)."""
+    """id, low and high: runs of starts of repeated windows of the texts (id, text), whose ids are unique.
+
+    Tables on the way are let go as soon as all that needs them is written.
+    """
     found = write_and_reread(anchors(texts, length), "suffix-anchors")
     several = found.groupBy("g").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("g")
     open_ = write_and_reread(matched(found, several, "g"), "suffix-shared")
+    release(found)
     classes = write_and_reread(_classes(open_, ["g"]), "suffix-classes")
     kinds = classes.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"))
     known = classes.join(kinds, "g").where("n > 1 OR kinds > 1")
     judged = write_and_reread(matched(open_, known, "g", "ca", "cb"), "suffix-judged")
-    done = [judged.where("n > 1").select("id", "low", "high")]
+    release(open_)
+    release(classes)
+    done = [write_and_reread(judged.where("n > 1").select("id", "low", "high"), "suffix-found")]
     rims = judged.where("kinds > 1 AND (n = 1 OR (id = head_id AND low = head_low))").select(
         "id", "low", "high", "at", (F.col("n") > 1).alias("done")
     )
-    pieces = _with_bytes(rims, texts, length)
+    pieces, sources = _with_bytes(rims, texts, length), [judged]
     reach = 1 << (length - 1).bit_length()
     for size in CELLS:
         cells = write_and_reread(_cells(pieces, size, length, reach), "suffix-cells")
+        for table in sources:
+            release(table)
         one = write_and_reread(_classes(cells, ["ka", "kb"]), "suffix-classes")
         many = one.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("kinds"))
         known = one.join(many, ["ka", "kb"]).where("n > 1 OR kinds > 1")
         met = write_and_reread(matched(cells.drop("raw"), known, "ka", "kb", "ca", "cb"), "suffix-met")
-        done.append(met.where("n > 1 AND NOT done").select("id", "low", "high"))
+        release(one)
+        done.append(write_and_reread(met.where("n > 1 AND NOT done").select("id", "low", "high"), "suffix-found"))
         left = met.where("kinds > 1 AND (n = 1 OR (id = head_id AND low = head_low))").select(
             "id", "low", "at", "ka", "kb", "kinds", (F.col("done") | (F.col("n") > 1)).alias("over")
         )
@@ -296,9 +324,12 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         dealt = few.select("id", "low", "raw", F.col("over").alias("done"), "ka", "kb").repartition("ka", "kb").sortWithinPartitions("ka", "kb")
         done.append(write_and_reread(_search(dealt, length), "suffix-found"))
         many_kinds = full.where(F.col("kinds") > GROUP)
+        sources = [cells, met]
         if size == 1 or many_kinds.isEmpty():
             break
         pieces = many_kinds.select("id", "low", "high", "at", "raw", F.col("over").alias("done"))
+    for table in sources:
+        release(table)
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -311,46 +342,40 @@ def _with_bytes(rims: DataFrame, texts: DataFrame, length: int) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            out = []
-            for name, data, own in zip(batch.column(0).to_pylist(), _bytes_of(batch.column(1)), batch.column(2).to_pylist()):
-                raw = data.tobytes()
-                out += [(name, x["low"], x["high"], x["at"], raw[x["low"] : x["high"] + length], x["done"]) for x in own]
-            if out:
-                cols = list(zip(*out))
-                kinds = [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "low", "high", "at", "raw", "done"])
+            for k, data in enumerate(_bytes_of(batch.column(1))):
+                name = batch.column(0)[k].as_py()
+                for x in batch.column(2)[k].as_py():
+                    yield name, x["low"], x["high"], x["at"], data[x["low"] : x["high"] + length].tobytes(), x["done"]
 
-    return texts.join(lists, "id").select("id", "text", "own").mapInArrow(cut, PIECE)
+    joined = texts.join(lists, "id").select("id", "text", "own")
+    return joined.mapInArrow(lambda batches: _in_lots(cut(batches), PIECE, 4), PIECE)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes of each row of ``docs``.
 
     Texts are UTF-8 bytes, and a missing text has none.  What is repeated is
-    judged on the input, so all copies lose it.  Rows repeated under one doc_id
-    repeat each other.  Rows without doc_id are left whole and repeat nothing.
-    An empty table gives an empty result.
+    judged on the input, so all copies lose it.  Every row stands for itself,
+    whatever its doc_id: rows under one doc_id or without one are judged like any
+    other two.  An empty table gives an empty result.
     """
-    rows = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
-    found = repeated_runs(rows.where("id IS NOT NULL"), length)
+    own = picked(docs, "doc_id", "text").select(
+        F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")
+    )
+    rows = write_and_reread(own, "suffix-texts")  # so that a row has the same number in every pass
+    found = repeated_runs(rows.select("id", "text"), length)
     spans = found.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def remove(batches):
         for batch in batches:
-            out = []
-            for data, own in zip(_bytes_of(batch.column(1)), batch.column(2).to_pylist()):
+            for k, data in enumerate(_bytes_of(batch.column(1))):
                 edge = np.zeros(len(data) + 1, np.int32)
-                for x in own or ():
-                    if x["high"] + length <= len(data):
-                        edge[x["low"]] += 1
-                        edge[x["high"] + length] -= 1
+                for x in batch.column(2)[k].as_py() or ():
+                    edge[x["low"]] += 1
+                    edge[x["high"] + length] -= 1
                 gone = np.cumsum(edge[:-1]) > 0
-                out.append((len(data), int(gone.sum()), len(runs(gone)), data[~gone].tobytes()))
-            cols = list(zip(*out))
-            kinds = [pa.int64()] * 3 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-            )
-
-    joined = rows.join(spans, "id", "left").select("id", "text", "runs")
-    return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+                yield batch.column(0)[k].as_py(), len(data), int(gone.sum()), len(runs(gone)), data[~gone].tobytes()
+
+    joined = rows.join(spans, "id", "left").select("doc_id", "text", "runs")
+    return joined.mapInArrow(lambda batches: _in_lots(remove(batches), schema, 4), schema)
