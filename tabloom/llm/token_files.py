@@ -39,8 +39,8 @@ LANES = 128
 BLOCK_IDS = 65_536
 GROUP = 16
 VOCABULARY = 49_408
-PIECE_CHARS = 4 << 20
-MEMORY = 400_000
+PIECE_CHARS = 1 << 19  # code points that are encoded together: arrays of ids take some fifty bytes each
+MEMORY = 100_000  # pieces a worker remembers
 ENCODED_AT_ONCE = 10_000
 
 MAGIC = b"TKRC"
