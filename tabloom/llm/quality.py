@@ -7,9 +7,9 @@ quantile.  Everything is DataFrame and SQL expressions.
 
 The estimates are found by concentration steps.  One step is one pass over the
 table of statistics: distances to the current estimate fall into narrow
-classes, sums are taken per group and class, running totals over the classes
-find the class that completes the share of rows to keep, and its totals are the
-next estimate.  No group ever sits in one task, and because statistics are whole
+classes, sums are taken per group and class, a running count over the classes
+finds the one that completes the share of rows to keep, and the sums up to it are the
+next estimate, which is written down: a step plans and compiles only itself.  No group ever sits in one task, and because statistics are whole
 numbers the sums do not depend on the order of rows.
 
 A group's estimate is blended with its language's, as if that stood for
@@ -210,16 +210,11 @@ def _concentrate(stats: DataFrame, estimates: DataFrame, keys: list[str], prior:
         *[F.sum(f"z{i}").alias(f"s{i}") for i in DIMS],
         *[F.sum(F.expr(f"z{i} * z{j}")).alias(f"q{i}_{j}") for i, j in PAIRS],
     )
-    over = f"(PARTITION BY {', '.join(keys)} ORDER BY class)"
-    running = sums.selectExpr(
-        *keys,
-        "class",
-        f"sum(n) OVER (PARTITION BY {', '.join(keys)}) AS total",
-        *[f"sum({c}) OVER {over} AS {c}" for c in ["n", *SUMS]],
-    )
-    done = running.where(f"n >= {KEPT_SHARE} * total")
-    first = done.groupBy(*keys).agg(F.expr(f"min_by(struct({', '.join(['n', *SUMS])}), class)").alias("at"))
-    base = first.select(*keys, "at.*")
+    group = f"PARTITION BY {', '.join(keys)}"
+    reached = sums.selectExpr("*", f"sum(n) OVER ({group} ORDER BY class) AS upto", f"sum(n) OVER ({group}) AS total")
+    # all classes up to the one that completes the share
+    inner = reached.where(f"upto - n < {KEPT_SHARE} * total")
+    base = inner.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ["n", *SUMS]])
     if prior is not None:
         base = base.join(
             prior.select("lang", *[F.col(f"m{i}").alias(f"pm{i}") for i in DIMS], *[F.col(f"c{i}_{j}").alias(f"pc{i}_{j}") for i, j in PAIRS]),
@@ -276,13 +271,11 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     lean = stats.select("doc_id", "lang", "source", *[f"z{i}" for i in DIMS])
     by_lang = _start(lean)
     for _ in range(STEPS):
-        by_lang = _concentrate(lean, by_lang, ["lang"], None)
-    by_lang = write_and_reread(by_lang, "quality-languages")
+        by_lang = write_and_reread(_concentrate(lean, by_lang, ["lang"], None), "quality-languages")
     keys = ["lang", "source"]
     groups = lean.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).drop("rows").join(by_lang, "lang")
     for _ in range(STEPS):
-        groups = _concentrate(lean, groups, keys, by_lang)
-    groups = write_and_reread(groups, "quality-groups")
+        groups = write_and_reread(_concentrate(lean, groups, keys, by_lang), "quality-groups")
     judged = _distances(stats, groups, keys)
     failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
     return judged.select(
