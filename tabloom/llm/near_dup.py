@@ -19,13 +19,18 @@ what is alike by registers across components is joined to clouds, and in a
 cloud the members of different components are compared on full sets, block by
 block: a task holds two blocks of bounded size, counts common shingles by matrix
 products and gives back one link for each two components.  No pairs are written
-out, and no pair is left out.
+out.  A band with more than ``BAND_REPS`` members is parted by its neighbours first:
+a pair that shares four bands has two of them within ``NEXT_BANDS`` and stays
+together.  Short texts fill few bands, so they do not rely on that: their sets meet
+by what is left when one or two shingles are taken away, which misses no link.
 
 Nothing about all documents passes through the driver: it sees counts.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -369,7 +374,7 @@ def link_classes(reps: DataFrame, texts: DataFrame, similarity: int) -> DataFram
         stars = write_and_reread(verified(close, set_table(texts, needed), similarity), "dedup-stars")
         roots = components(stars)
     # a band that holds several components may hide a link between them
-    edges = write_and_reread(cloud_edges(shared.select("key", "band", "rep"), roots, reps, similarity).distinct(), "dedup-open")
+    edges = write_and_reread(cloud_edges(shared.select("key", "band", "rep"), roots, reps, texts, similarity).distinct(), "dedup-open")
     if edges.isEmpty():
         return roots
     clouds = components(edges).withColumnRenamed("root", "cloud")
@@ -384,13 +389,14 @@ def _open(rows: DataFrame) -> DataFrame:
     return matched(rows, several.where("low < high").select("key", "n"), "key")
 
 
-def cloud_edges(shared: DataFrame, roots: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
+def cloud_edges(shared: DataFrame, roots: DataFrame, reps: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) that join all pairs of different components whose registers are alike enough for a link.
 
     A task looks at one band, or at two parts of one, and gives back a spanning
     forest of its pairs, not the pairs.  A band with more than ``BAND_REPS``
     members is first refined by the bands next to it, twice, which parts what
-    has little in common; what is still larger is looked at in parts.
+    has little in common; what is still larger is looked at in parts.  Short
+    sets of such bands are joined by `short_edges`.
     """
     rows = write_and_reread(_open(_labelled(shared, roots)), "dedup-rows")
     lean = reps.select("rep", "regs")
@@ -407,6 +413,8 @@ def cloud_edges(shared: DataFrame, roots: DataFrame, reps: DataFrame, similarity
         large = rows.where(F.col("n") > BAND_REPS)
         if depth == 2 or large.isEmpty():
             break
+        if depth == 0:
+            parts.append(short_edges(large, reps, texts, similarity))
         some = reps.join(large.select("rep").distinct(), "rep", "left_semi")
         near = emissions(some, similarity).select(F.col("key").alias("key2"), F.col("band").alias("band2"), "rep")
         finer = large.join(near, "rep").where(f"pmod(band2 - band, {band_count(similarity)}) BETWEEN 1 AND {NEXT_BANDS}")
@@ -419,6 +427,41 @@ def cloud_edges(shared: DataFrame, roots: DataFrame, reps: DataFrame, similarity
     return out
 
 
+def short_limit(similarity: int) -> int:
+    """The most shingles of a set that can lose two of them, but not three, and still be similar enough."""
+    return -(-300 // (100 - similarity)) - 1
+
+
+def short_edges(rows: DataFrame, reps: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) that join all linked pairs of short sets among the reps of ``rows``.
+
+    Two sets with the common part K and a and b more shingles are linked where K / (K + a + b) is large
+    enough, so both meet under K, and there the one with the fewest more is linked with all that are linked
+    with any: one pair per member joins them.
+    """
+    lean = reps.where(F.col("n_shingles") <= short_limit(similarity)).select("rep")
+    needed = write_and_reread(lean.join(rows.select("rep").distinct(), "rep", "left_semi"), "dedup-needed")
+
+    def rests(batches):
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part, out = batch.slice(begin, 256), []
+                for rep, raw in zip(part.column(0).to_pylist(), part.column(1)):
+                    values = np.frombuffer(raw.as_buffer(), np.uint64)
+                    for gone in range((100 - similarity) * len(values) // 100 + 1):
+                        for less in combinations(range(len(values)), gone):
+                            rest = xxhash.xxh3_128_digest(np.delete(values, less).tobytes())
+                            out.append((rest, rep, len(values) - gone, gone))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["rest", "rep", "left", "gone"])
+
+    met = write_and_reread(set_table(texts, needed).mapInArrow(rests, "rest binary, rep long, left long, gone long"), "dedup-rests")
+    heads = met.groupBy("rest").agg(F.min(F.struct("gone", "rep")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    both = matched(met, heads.select("rest", "head"), "rest")
+    linked = both.where(f"rep <> head.rep AND 100 * left >= {similarity} * (left + gone + head.gone)")
+    return linked.select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b"))
+
+
 def _spanning(similarity: int):
     """Spanning forests of the alike pairs across roots, of rows (task, rep, root, regs) in the order of tasks."""
     share = similarity / 100
