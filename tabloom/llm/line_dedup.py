@@ -30,56 +30,61 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     Lines are exploded and hashed; a hash that at least ``min_docs`` documents
     hold is dropped everywhere but in the smallest doc_id.  Counting a hash adds
     up partial counts of tasks, so a line of a third of all documents is no
-    burden.  Only the hashes to drop travel back to the documents.
+    burden.  Only the places of lines to drop travel back to the documents, so a text
+    of any number of lines is put together in one walk.
 
     A missing or empty text is one empty line.  Rows repeated under one doc_id
     are one document where two documents are asked for, and count singly above
     that; they get the same treatment.  Rows without doc_id stay as they are.
     An empty table gives an empty result.
     """
-    hashed = picked(docs, "doc_id", "text").where("doc_id IS NOT NULL").select(
-        "doc_id", F.explode(F.array_distinct(F.filter(_hashes(line_keys(whole_text())), lambda x: x.isNotNull()))).alias("h")
-    ).select("doc_id", F.col("h.a").alias("ha"), F.col("h.b").alias("hb"))
+    own = picked(docs, "doc_id", "text").where("doc_id IS NOT NULL")
+    hashes = _hashes(line_keys(whole_text()))
+    # distinct texts rather than hashes: sets of strings are hashed, those of structs compared one by one
+    distinct = F.array_distinct(F.filter(line_keys(whole_text()), lambda x: F.length(x) >= MIN_CHARS))
+    held = own.select("doc_id", F.explode(_hashes(distinct)).alias("h"))
     shared = (
-        hashed.groupBy("ha", "hb")
+        held.groupBy(F.col("h.a").alias("ha"), F.col("h.b").alias("hb"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
         .where((F.col("n") >= min_docs) & (F.col("keeper") < F.col("last")))
         .select("ha", "hb", "keeper")
     )
+    placed = own.select("doc_id", _content().alias("content"), F.posexplode(hashes).alias("at", "h")).where("h IS NOT NULL")
     drops = (
-        matched(hashed, shared, "ha", "hb")
+        matched(placed.select("doc_id", "content", "at", F.col("h.a").alias("ha"), F.col("h.b").alias("hb")), shared, "ha", "hb")
         .where("doc_id <> keeper")
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct(F.col("ha").alias("a"), F.col("hb").alias("b"))).alias("_drop"))
-        .withColumnRenamed("doc_id", "_id")
+        .groupBy("doc_id", "content")
+        .agg(F.collect_set("at").alias("at"))
     )
-    joined = docs.join(drops, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    drop, count, gone, rest = (_unused(docs, name) for name in ("_drop", "_lines", "_gone", "_rest"))
+    sides = drops.select(F.col("doc_id").alias("_id"), "content", F.col("at").alias(drop))
+    joined = docs.join(sides, (docs["doc_id"] == sides["_id"]) & (_content(docs["text"]) == sides["content"]), "left")
     lines = F.split(whole_text(), "\n")
-    rest = F.when(F.col("_drop").isNull(), whole_text()).otherwise(
-        F.array_join(
-            F.transform(
-                F.filter(
-                    F.arrays_zip(lines.alias("line"), _hashes(line_keys(whole_text())).alias("h")),
-                    lambda x: x["h"].isNull() | ~F.array_contains(F.col("_drop"), x["h"]),
-                ),
-                lambda x: x["line"],
-            ),
-            "\n",
-        )
+    # the lines are bound to a name, so that they are split once and not for every place
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
+    put = F.transform(F.array(lines), lambda split: F.array_join(F.transform(kept, lambda at: split[at]), "\n"))[0]
+    out = joined.select(
+        *[docs[f"`{c}`"] for c in docs.columns],
+        F.size(lines).cast("long").alias(count),
+        F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("long").alias(gone),
+        F.when(F.col(drop).isNull(), F.col("text")).otherwise(put).alias(rest),
     )
-    names = set(docs.columns)
-    out = joined.withColumn("_rest", rest).withColumn("_lines", F.size(lines).cast("long"))
-    left = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(_kept_lines())
-    out = out.withColumn("_left", left)
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in {"text", "n_lines", "n_dropped"} & names],
-        F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.col("_rest")).alias("text"),
-        F.col("_lines").alias("n_lines"),
-        (F.col("_lines") - F.col("_left")).alias("n_dropped"),
+        *[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],
+        F.col(rest).alias("text"),
+        F.col(count).alias("n_lines"),
+        F.col(gone).alias("n_dropped"),
     )
 
 
-def _kept_lines() -> Column:
-    return F.size(
-        F.filter(_hashes(line_keys(whole_text())), lambda x: x.isNull() | ~F.array_contains(F.col("_drop"), x))
-    ).cast("long")
+def _content(text: Column | None = None) -> Column:
+    """Tells rows under one doc_id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col("text") if text is None else text, F.lit("")))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
