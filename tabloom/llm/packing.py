@@ -2,7 +2,7 @@
 
 Documents are dealt into shards of about ``SHARD_DOCS`` by a hash, so copies and
 the documents of one source spread over all shards, and each shard is packed by
-itself, longest piece first.  Open bins stand in the order of their residual
+itself, longest piece first: the fit is the best within a shard, not over all.  Open bins stand in the order of their residual
 space.  A piece looks up the tightest bin that has room and goes on to the next
 larger residual until a bin has no conflict.  A bin's conflicts are bitmaps: one
 of duplicate clusters, and one per permitted document of a source.
@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.text import ascii_lower, whole_text, words_of
+from tabloom.session import write_and_reread
 
 CAPACITY = 2048
 PER_SOURCE = 4
 SHARD_DOCS = 2000
+EQUAL_ROWS = 16
 
 
 class OpenBins:
@@ -98,6 +100,21 @@ def text_cluster(text: Column) -> Column:
     return F.xxhash64(F.array_join(words_of(ascii_lower(text)), " "))
 
 
+def _salted(shaped: DataFrame) -> DataFrame:
+    """The rows with a salt.
+
+    Copies differ in doc_id and so in their shard.  Rows that agree in all that is hashed, such as rows without
+    doc_id and text, would pile up in one; more than ``EQUAL_ROWS`` of them are told apart by their place in the table.
+    """
+    keys = ["doc_id", "n", "cluster"]
+    many = shaped.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > EQUAL_ROWS)
+    same = many.select(F.xxhash64(*keys).alias("key"), "rows").groupBy("key").agg(F.max("rows").alias("rows"))
+    marked = shaped.withColumn("key", F.xxhash64(*keys)).withColumn("place", F.monotonically_increasing_id())
+    salt = F.when(F.col("rows").isNotNull(), F.xxhash64("place")).otherwise(F.lit(0))
+    joined = marked.join(same, "key", "left")
+    return joined.withColumn("salt", salt).drop("key", "place", "rows")
+
+
 def pack_documents(
     docs: DataFrame,
     length: Column | None = None,
@@ -120,9 +137,10 @@ def pack_documents(
         (F.size(words_of(whole_text())) if length is None else length).cast("long").alias("n"),
         (text_cluster(whole_text()) if cluster is None else F.xxhash64(cluster)).alias("cluster"),
     )
-    shards = max(1, math.ceil(docs.count() / shard_docs))
-    # Copies differ in doc_id, and repeated rows in their place, so none piles up in a shard.
-    dealt = shaped.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "cluster"), F.lit(shards)).cast("long"))
+    shaped = write_and_reread(shaped, "packing-shapes")
+    shards = max(1, math.ceil(shaped.count() / shard_docs))
+    dealt = _salted(shaped).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "cluster", "salt"), F.lit(shards)).cast("long"))
+    dealt = dealt.drop("salt")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def one(key, rows):

@@ -95,3 +95,14 @@ def test_url_rows(spark):
     got = url_filter.url_verdicts(pages, rules, F.col("host") == "spam.net").orderBy("page_id").collect()
     assert [tuple(r)[1:5] for r in got] == [u[1:] for u in urls]
     assert url_filter.url_verdicts(pages.limit(0), rules, F.lit(True)).count() == 0
+
+
+def test_equal_rows_are_dealt_over_shards(spark):
+    docs = frame(spark, [None] * 600 + ["a b"] * 300, [None] * 600 + [7] * 300)
+    rows = packing.pack_documents(docs, shard_docs=100).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + 1
+    assert len(rows) == 900 and len(sizes) == 9 and max(sizes.values()) < 160
+    places = {(r["shard"], r["bin"], r["doc_id"]) for r in rows}
+    assert len(places) == 900  # copies never share a bin
