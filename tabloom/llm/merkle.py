@@ -25,7 +25,7 @@ from tabloom.llm.text import picked
 from tabloom.session import write_and_reread
 
 WAYS = 8  # nodes of a run
-BLOCK = 512 * WAYS  # nodes of a window
+BLOCK = 64 * WAYS  # nodes of a window
 # Fixed value: Spark numbers the rows of partition p from p * 2^33.
 PARTITION_BITS = 33
 
