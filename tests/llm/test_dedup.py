@@ -166,10 +166,61 @@ def test_repeats_equal_brute_force(spark, monkeypatch, group):
 def test_repeat_rows(spark):
     long = " ".join(words(random.Random(1), 100))
     got = suffix_dedup.remove_repeats(frame(spark, [long, long, long, None], [7, 7, None, None])).collect()
-    assert sorted((str(r["doc_id"]), r["n_removed"] > 0) for r in got) == [("7", True), ("7", True), ("None", False), ("None", False)]
+    assert sorted((str(r["doc_id"]), r["n_removed"] > 0) for r in got) == [("7", True), ("7", True), ("None", False), ("None", True)]
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_a_row_takes_its_own_spans_only(spark):
+    rng = random.Random(12)
+    alone, other = " ".join(words(rng, 200)), " ".join(words(rng, 200))
+    got = suffix_dedup.remove_repeats(frame(spark, [alone, other, "x " + other[:550]], [5, 5, 9])).collect()
+    assert sorted((r["doc_id"], r["n_bytes"] == len(alone), r["n_removed"]) for r in got if len(alone) != len(other)) == sorted(
+        [(5, True, 0), (5, False, 550), (9, False, 550)]
+    )
+
+
+def test_bands_of_any_size_lose_no_link_of_short_texts(spark, monkeypatch):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(40):
+        line = words(rng, 24)
+        texts += [" ".join(line[i : i + n]) for n in (10, 11) for i in range(14)]
+    want = brute_components(texts)
+    assert len({c for _, _, c, _ in want}) < len(texts)
+    for most in (6, 3):
+        monkeypatch.setattr(near_dup, "BAND_REPS", most)
+        assert sorted(tuple(r) for r in near_dup.near_duplicates(frame(spark, texts)).collect()) == want
+
+
+def test_short_sets_meet_under_what_they_share():
+    for similarity in (80, 85, 95):
+        most = near_dup.short_limit(similarity)
+        assert (100 - similarity) * most // 100 == 2 and (100 - similarity) * (most + 1) // 100 == 3
+
+
+def test_many_shared_lines_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"shared line number {i}" for i in range(n))
+        start = time.monotonic()
+        rows = line_dedup.drop_shared_lines(frame(spark, [text, text + "\nown line of this one"])).collect()
+        assert sorted((r["n_lines"], r["n_dropped"]) for r in rows) == [(n, 0), (n + 1, n)]
+        assert [r["text"] for r in rows if r["n_dropped"]] == ["own line of this one"]
+        return time.monotonic() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 20  # an array looked up line by line took 35 s for half of this
+
+
+def test_line_rows_under_one_doc_id_keep_their_own_places(spark):
+    first, second = "a shared line here\nmine alone, all of it", "nothing of theirs\nand more\na shared line here"
+    docs = frame(spark, ["a shared line here", first, second], [1, 5, 5]).withColumnsRenamed({"root": "_drop", "key": "_lines", "n": "_rest"})
+    rows = line_dedup.drop_shared_lines(docs).collect()
+    assert sorted(r["text"] for r in rows) == ["a shared line here", "mine alone, all of it", "nothing of theirs\nand more"]
+    assert {r["_drop"] for r in rows} == {"x"} and {r["_lines"] for r in rows} == {7}
+
+
 def linked_at(texts, similarity):
     """doc_ids of each component of texts under a similarity in hundredths, by all pairs."""
     sets = [shingles(t) for t in texts]
