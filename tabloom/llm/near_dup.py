@@ -8,8 +8,9 @@ for a pair to miss all bands with a probability below 1e-10: four registers and
 32 bands at 0.85, three and 43 at 0.80.
 
 Equal sets are one class, and only its smallest doc_id goes on.  In a band a
-candidate is compared with two elected members, the one that is central and one
-chosen by a hash, so a band of any size gives two pairs per member at most.
+candidate is compared with two elected members, the one that is central and, where
+the band still holds several components, one chosen by a hash, so a band of any size
+gives two pairs per member at most.
 Pairs first pass the estimate from registers, corrected for chance collisions,
 then are verified on full sets; verified links are contracted to components.
 
@@ -232,8 +233,9 @@ def shared_bands(rows: DataFrame) -> DataFrame:
     return matched(several, elected, "key")
 
 
-def star_pairs(shared: DataFrame) -> DataFrame:
-    pairs = shared.select("rep", F.explode(F.array("head", "other")).alias("to")).where("rep <> to")
+def star_pairs(shared: DataFrame, centre: str) -> DataFrame:
+    """Each member of a band with its elected ``centre``."""
+    pairs = shared.where(f"rep <> {centre}").select("rep", F.col(centre).alias("to"))
     return pairs.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
 
 
@@ -366,12 +368,15 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 def link_classes(reps: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """rep and root of the classes that have a link."""
     shared = write_and_reread(shared_bands(emissions(reps, similarity)), "dedup-bands")
-    close = write_and_reread(likely(star_pairs(shared), reps, similarity), "dedup-likely")
-    if close.isEmpty():
-        stars, roots = close, close.select(F.col("a").alias("rep"), F.col("b").alias("root"))
-    else:
-        needed = write_and_reread(close.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "dedup-needed")
-        stars = write_and_reread(verified(close, set_table(texts, needed), similarity), "dedup-stars")
+    # first the central members, which are few; then, where a band still holds several components, the others
+    stars = _star_links(star_pairs(shared, "head"), reps, texts, similarity)
+    roots = components(stars)
+    apart = _open(_labelled(shared.select("key", "rep", "other"), roots)).select("rep", "root", "other")
+    far = roots.select(F.col("rep").alias("other"), F.col("root").alias("other_root"))
+    crossing = apart.join(far, "other", "left").where("root <> coalesce(other_root, other)")
+    more = _star_links(star_pairs(crossing, "other"), reps, texts, similarity)
+    if not more.isEmpty():
+        stars = write_and_reread(stars.unionByName(more), "dedup-stars")
         roots = components(stars)
     # a band that holds several components may hide a link between them
     edges = write_and_reread(cloud_edges(shared.select("key", "band", "rep"), roots, reps, texts, similarity).distinct(), "dedup-open")
@@ -383,6 +388,15 @@ def link_classes(reps: DataFrame, texts: DataFrame, similarity: int) -> DataFram
     return roots if crossing.isEmpty() else components(stars.select("a", "b").union(crossing))
 
 
+def _star_links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) that are links: by the estimate first, then on full sets."""
+    close = write_and_reread(likely(pairs, reps, similarity), "dedup-likely")
+    if close.isEmpty():
+        return close
+    needed = write_and_reread(close.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "dedup-needed")
+    return write_and_reread(verified(close, set_table(texts, needed), similarity), "dedup-stars")
+
+
 def _open(rows: DataFrame) -> DataFrame:
     """The rows (key, band, rep, root) of keys that hold several roots, with the number of the key's rows."""
     several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
@@ -477,8 +491,8 @@ def _spanning(similarity: int):
 
         out = []
         live = regs != EMPTY
-        for begin in range(0, len(rep), 64):
-            part = slice(begin, begin + 64)
+        for begin in range(0, len(rep), 16):
+            part = slice(begin, begin + 16)
             equal = ((regs[part, None, :] == regs[None, begin:, :]) & live[part, None, :]).sum(axis=2)
             used = (live[part, None, :] | live[None, begin:, :]).sum(axis=2)
             alike = equal >= used * share - DEVIATIONS * np.sqrt(share * (1 - share) * used)
