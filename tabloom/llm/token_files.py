@@ -21,6 +21,7 @@ case off itself.  Each distinct piece is encoded once a task.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from itertools import chain
@@ -40,8 +41,8 @@ BLOCK_IDS = 65_536
 GROUP = 16
 VOCABULARY = 49_408
 PIECE_CHARS = 1 << 19  # code points that are encoded together: arrays of ids take some fifty bytes each
-MEMORY = 100_000  # pieces a worker remembers
-ENCODED_AT_ONCE = 10_000
+MEMORY = 150_000  # pieces a worker remembers
+ENCODED_AT_ONCE = 1000
 
 MAGIC = b"TKRC"
 HEAD = struct.Struct("<4sHHIIIII")  # magic, version, lanes, documents, ids, vocabulary, crc of ids, crc of the rest
@@ -381,6 +382,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocabular
     """
 
     def blocks(batches):
+        # a task has one core; threads of the tokenizer would only hold memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         if tokenizer_path not in _encoders:  # one worker process runs many tasks
