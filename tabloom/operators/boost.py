@@ -171,7 +171,7 @@ class Booster:
     split_noise: float = 0.0
     patience: int | None = None
     seed: int = 42
-    trees_per_table: int = 20
+    trees_per_table: int = 10
     categories: Sequence[str] = ()
 
     def with_params(self, **params) -> Booster:

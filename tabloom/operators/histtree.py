@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.splits import row_hash
 from tabloom.operators.quantiles import number
+from tabloom.session import release, write_and_reread
 
 BINNED_SCHEMA = "bins binary, y double, state binary, u bigint, fold int"
 HISTOGRAM_SCHEMA = "tree int, grp int, feature int, node int, kind int, data binary"
@@ -46,6 +47,7 @@ SPLIT_SCHEMA = (
 HISTOGRAM_BYTES = 64 << 20
 TRAIN, VALIDATION = 0, 1
 ROWS, PARENT, FIT = 0, 1, 2  # kinds of histogram rows: summed from rows, a parent's, errors of the model so far
+CHAIN = 3  # tables of arrays that are kept in memory one on top of the other; the next one is written out
 TIE = 1e-11  # gains this close, relative to the node's score, count as equal
 
 
@@ -846,7 +848,7 @@ def grow_trees(
     growers = [GROWERS[t.growth.mode](t) for t in tasks]
     stopped: set[int] = set()
     where: dict[tuple[int, int], DataFrame] = {}
-    kept: list[DataFrame] = []
+    kept: dict[int, tuple[DataFrame, int]] = {}
     first = True
     try:
         while first or any(g.wanted for i, g in enumerate(growers) if i not in stopped):
@@ -862,8 +864,8 @@ def grow_trees(
             first = False
         _finish_locally(table, binning, tasks, growers)
     finally:
-        for df in kept:
-            df.unpersist()
+        for df, _ in kept.values():
+            release(df)
     return [None if i in stopped else g.result() for i, g in enumerate(growers)]
 
 
@@ -1000,8 +1002,12 @@ def _one_pass(rows, binning, tasks, wanted, growers, where, kept, answers):
     keeps = [g.keeps for g in growers]
     result = _splits(reduce(DataFrame.unionByName, frames), binning, tasks, wanted, keeps)
     if any(k and w for k, w in zip(keeps, wanted, strict=True)):
-        result = result.persist(StorageLevel.MEMORY_AND_DISK)
-        kept.append(result)
+        above = 1 + max((kept[k][1] for k in parents), default=0)
+        if above < CHAIN:
+            result = result.persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            result, above = write_and_reread(result, "histograms"), 0
+        kept[id(result)] = result, above
     found = result.drop("data").collect()
     for row in sorted(found, key=lambda r: (r["tree"], r["node"], r["feature"])):
         i, node = row["tree"], row["node"]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.metrics import cross_validation_summary, regression_metrics
 from tabloom.functions.scalar import log_target, target_from_log
 from tabloom.functions.splits import fold_number, in_holdout
-from tabloom.operators import clean, stack, tune
+from tabloom.operators import clean, foldwise, stack, tune
 from tabloom.operators.adaboost import AdaBoostR2
 from tabloom.operators.bayes import BayesianRidge, gram
 from tabloom.operators.boost import CategoryBooster, leaf_booster, level_booster, symmetric_booster
@@ -27,8 +27,8 @@ from tabloom.operators.linear import ElasticNet, Lasso, Ols, Ridge, polynomial_r
 from tabloom.operators.prepare import MedianImputer, StandardScale
 from tabloom.plans.clean_queries import PLOTS_CTE
 from tabloom.plans.flagship import score_properties
-from tabloom.plans.registry import HASH_SQL, HOLDOUT_SQL, STRINGS, Catalog, rounded, union_all, with_property
-from tabloom.plans.run_all import fit_all
+from tabloom.plans.registry import HASH_SQL, HOLDOUT_SQL, NUMBERS, STRINGS, Catalog, rounded, union_all, with_property
+from tabloom.plans.run_all import default_regressors, fit_all, refit_all
 from tabloom.session import reused, shared_path, write_and_reread
 from tabloom.sources import sinks
 from tabloom.sources.csv import read_csv
@@ -149,10 +149,16 @@ OOF_CTE = (
 )
 
 
+def _folds(spark, d):
+    df = property_table(spark, d).select("row_id", "target", "overall_quality")
+    return df.withColumns({"label": log_target(F.col("target")), "fold": fold_number(5)})
+
+
 def _out_of_fold(spark, d, *keep):
-    with reused(_one_feature(spark, d).select("row_id", "target", "label", "features", "fold")) as df:
-        oof, _ = stack.out_of_fold(df, lambda train, _: Ols().fit(train), 5, keep=keep)
-        return write_and_reread(_back(oof), "oof")
+    """All fold models from one scan, and every row scored by that of its fold in another."""
+    df = _folds(spark, d)
+    fits = foldwise.fit_folds(df, ["overall_quality"], "label")
+    return _back(fits.out_of_fold(df)).select("row_id", "fold", "prediction", *keep)
 
 
 def _cv_summary(spark, d):
@@ -170,6 +176,14 @@ NET_SPACE = {"alpha": tune.Uniform(1e-4, 0.2, log=True), "l1Ratio": tune.Uniform
 
 
 def _ridge_grid(spark, d):
+    """Every fold and penalty from the moments of one scan."""
+    _, trials = foldwise.linear_grid(_folds(spark, d), ["overall_quality"], "label", [{"alpha": a} for a in ALPHAS])
+    scores = tune.trial_scores(spark.createDataFrame(trials, tune.TRIAL_SCHEMA))
+    return scores.select("trial_id", F.col("params")["alpha"].alias("alpha"), F.round("score", 6).alias("score"))
+
+
+def _ridge_search(spark, d):
+    """The same grid for estimators of which nothing is known but fit and transform, and the best one on all rows."""
     estimator = Ridge()
     with reused(_one_feature(spark, d).select("row_id", "label", "features", "fold")) as df:
         _, trials = tune.grid_search(
@@ -337,11 +351,7 @@ def _bayes(spark, d):
     return report.withColumns({k: F.round(F.lit(v), 5) for k, v in values.items()})
 
 
-BAYES_SQL = with_property(
-    "SELECT COUNT(*) AS n, round(sqrt(AVG((target - p) * (target - p))), 2) AS rmse, round(b, 5) AS slope, "
-    "round(my - b * mx, 5) AS intercept, round(noise, 5) AS noise_precision, round(weight, 5) AS weight_precision "
-    "FROM (SELECT target, exp(my + b * (x - mx)) - 1 AS p, b, mx, my, noise, weight FROM d, last WHERE h) q "
-    "GROUP BY b, mx, my, noise, weight",
+BAYES_CTES = (
     DATA_CTE,
     STATS_CTE,
     "yy AS (SELECT n * var_pop(y) AS s FROM d, st WHERE NOT h GROUP BY n)",
@@ -351,9 +361,25 @@ BAYES_SQL = with_property(
     "COALESCE(abs(prev - b) < 1e-3, FALSE) FROM (SELECT i, n, prev, b, s - 2 * b * n * c + b * b * n * v AS res, "
     "noise * n * v / (weight + noise * n * v) AS eff FROM (SELECT i, noise, weight, prev, n, c, v, s, "
     "n * c / (n * v + weight / noise) AS b FROM RECURSIVE_STEPS, st, yy WHERE NOT done AND i < 300) q1) q2)",
-    "last AS (SELECT n * c / (n * v + weight / noise) AS b, mx, my, noise, weight FROM RECURSIVE_STEPS, st "
+    "last AS (SELECT n * c / (n * v + weight / noise) AS b, mx, my, noise, weight, n * v AS spread FROM RECURSIVE_STEPS, st "
     "ORDER BY i DESC LIMIT 1)",
-).replace("WITH prop", "WITH RECURSIVE prop", 1)
+)
+
+
+def _bayes_sql(body: str, *more: str) -> str:
+    return with_property(body, *BAYES_CTES, *more).replace("WITH prop", "WITH RECURSIVE prop", 1)
+
+
+BAYES_SQL = _bayes_sql(
+    "SELECT COUNT(*) AS n, round(sqrt(AVG((target - p) * (target - p))), 2) AS rmse, round(b, 5) AS slope, "
+    "round(my - b * mx, 5) AS intercept, round(noise, 5) AS noise_precision, round(weight, 5) AS weight_precision "
+    "FROM (SELECT target, exp(my + b * (x - mx)) - 1 AS p, b, mx, my, noise, weight FROM d, last WHERE h) q "
+    "GROUP BY b, mx, my, noise, weight"
+)
+BAYES_STD_SQL = _bayes_sql(
+    "SELECT row_id, round(my + b * (x - mx), 5) AS prediction, "
+    "round(sqrt((x - mx) * (x - mx) / (noise * spread + weight) + 1 / noise), 6) AS std FROM d, last WHERE h"
+)
 
 GRAM_COLUMNS = ["overall_quality", "ground_area", "land_area"]
 
@@ -621,11 +647,88 @@ def _gaussian_spread(spark, d):
     return scored.agg(F.avg("std").alias("mean_std"), F.avg(outside.cast("int")).alias("outside_two_std"))
 
 
+STACK = ("overall_quality", "overall_condition")
+
+
+def _linear_stack(spark, d):
+    """Two one-feature models per fold, least squares on their out-of-fold predictions."""
+    df = property_table(spark, d).select("row_id", "target", *STACK)
+    df = df.withColumns({"label": log_target(F.col("target")), "is_holdout": in_holdout(), "fold": fold_number(5)})
+    for c in STACK:
+        df = VectorAssembler(inputCols=[c], outputCol=f"{c}_vector").transform(df)
+
+    def fitter(column):
+        return lambda train, _: Ols(featuresCol=f"{column}_vector").fit(train)
+
+    with reused(df) as kept:
+        base = {f"by_{c}": fitter(c) for c in STACK}
+        result = stack.stack(kept.filter(~F.col("is_holdout")), kept.filter("is_holdout"), base, folds=5, label="label")
+    return _scores(result.test)
+
+
+def _linear_stack_sql() -> str:
+    def one(i):
+        return f"my + c{i} / v{i} * (x{i} - mx{i})"
+
+    sums = ", ".join(f"AVG(x{i}) AS mx{i}, covar_pop(y, x{i}) AS c{i}, var_pop(x{i}) AS v{i}" for i in range(2))
+    return with_property(
+        "SELECT row_id, round(exp(my + (ya * bb - yb * ab) / (aa * bb - ab * ab) * (a - ma) + (yb * aa - ya * ab) / (aa * bb - ab * ab) * (b - mb)) - 1, 2) "
+        "AS prediction FROM test, w",
+        f"d AS (SELECT row_id, ln(1 + target) AS y, CAST({STACK[0]} AS DOUBLE) AS x0, CAST({STACK[1]} AS DOUBLE) AS x1, {HOLDOUT_SQL} AS h, "
+        f"CAST({HASH_SQL} % 5 AS INTEGER) AS fold FROM prop)",
+        f"fs AS (SELECT k, AVG(y) AS my, {sums} FROM d, (SELECT CAST(unnest(range(5)) AS INTEGER) AS k) g WHERE NOT h AND fold <> k GROUP BY k)",
+        f"oof AS (SELECT y, {one(0)} AS a, {one(1)} AS b FROM d JOIN fs ON fold = k WHERE NOT h)",
+        "w AS (SELECT AVG(a) AS ma, AVG(b) AS mb, AVG(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, "
+        "covar_pop(y, a) AS ya, covar_pop(y, b) AS yb FROM oof)",
+        f"test AS (SELECT row_id, AVG({one(0)}) AS a, AVG({one(1)}) AS b FROM d, fs WHERE h GROUP BY row_id)",
+    )
+
+
+def _bayes_std(spark, d):
+    df = property_table(spark, d).select("row_id", "target", "overall_quality").withColumns(
+        {"label": log_target(F.col("target")), "is_holdout": in_holdout()}
+    )
+    with reused(df) as kept:
+        model = BayesianRidge(["overall_quality"], "label").fit(kept.filter(~F.col("is_holdout")))
+    scored = model.transform(df.filter("is_holdout"), std="std")
+    return scored.select("row_id", F.round("prediction", 5).alias("prediction"), F.round("std", 6).alias("std"))
+
+
+def _refitted(spark, d):
+    """Ridge on training and holdout rows together, scoring all rows."""
+    df = _one_feature(spark, d)
+    with reused(df) as kept:
+        model = refit_all(
+            lambda train, _: LINEAR["Ridge"]().fit(train), kept.filter(~F.col("is_holdout")), kept.filter("is_holdout")
+        )
+    return _scores(model.transform(df))
+
+
+def _all_models(spark, d):
+    """All twelve model families on all numeric columns, imputed and scaled, with the holdout rows for early stopping."""
+    columns = [c for c in NUMBERS if c != "target"]
+    df = property_table(spark, d).select("row_id", "target", *columns)
+    df = df.withColumns({"label": log_target(F.col("target")), "is_holdout": in_holdout()})
+    with reused(df.filter(~F.col("is_holdout")).select(*columns)) as train:
+        filled = MedianImputer(inputCols=columns).fit(train)
+        scaled = StandardScale(inputCols=columns).fit(filled.transform(train))
+    ready = VectorAssembler(inputCols=columns, outputCol="features").transform(scaled.transform(filled.transform(df)))
+    with reused(write_and_reread(ready, "prepared")) as kept:
+        regressors = default_regressors(columns, "features", "label", trees=ALL_TREES, points=64)
+        board = fit_all(
+            regressors, kept.filter(~F.col("is_holdout")), kept.filter("is_holdout"), "target", shared_path(spark, "leaderboard"), "all"
+        )
+    return rounded(board, 2)
+
+
+ALL_TREES = 8
+
+
 def _run_all(spark, d):
     path = shared_path(spark, "leaderboard")
     with reused(_one_feature(spark, d)) as df:
-        regressors = {name: (lambda train, b=build: b().fit(train)) for name, build in LINEAR.items()}
-        regressors["BayesianRidge"] = lambda train: BayesianRidge(["overall_quality"], "label").fit(train)
+        regressors = {name: (lambda train, _, b=build: b().fit(train)) for name, build in LINEAR.items()}
+        regressors["BayesianRidge"] = lambda train, _: BayesianRidge(["overall_quality"], "label").fit(train)
         board = fit_all(
             regressors, df.filter(~F.col("is_holdout")), df.filter("is_holdout"), "target", path, "one_feature"
         )
@@ -732,6 +835,7 @@ def register(catalog: Catalog) -> None:
     add("V8_early_stopping", _early_stopping)
     add("V9_manual_early_stop", _first_minimum)
     add("V10_grid_search", _ridge_grid, _ridge_grid_sql())
+    add("V10_estimator_search", _ridge_search, _ridge_grid_sql())
     grid = tune.parameter_grid(NET_GRID)
     drawn = tune.random_candidates(NET_SPACE, 6)
     add("V11_grid_holdout", _net_report(grid), _net_sql(grid))
@@ -747,7 +851,37 @@ def register(catalog: Catalog) -> None:
             "SELECT row_id, fold, round(prediction, 2) AS prediction FROM oof", DATA_CTE, FOLD_STATS_CTE, OOF_CTE
         ),
     )
-    add("V15_run_all", _run_all)
+    runs = [
+        f"SELECT '{name}' AS model, sqrt(AVG((target - p) * (target - p))) AS rmse FROM "
+        f"(SELECT target, exp(my + ({slope}) * (x - mx)) - 1 AS p FROM d, st WHERE h) q{i}"
+        for i, (name, slope) in enumerate(SLOPES.items())
+    ]
+    runs.append(
+        "SELECT 'BayesianRidge' AS model, sqrt(AVG((target - p) * (target - p))) AS rmse FROM "
+        "(SELECT target, exp(my + b * (x - mx)) - 1 AS p FROM d, last WHERE h) qb"
+    )
+    add(
+        "V15_run_all",
+        _run_all,
+        _bayes_sql(
+            "SELECT CAST(dense_rank() OVER (ORDER BY rmse) AS INTEGER) AS place, model, round(rmse, 2) AS rmse FROM runs",
+            f"runs AS ({union_all(runs)})",
+        ),
+    )
+    add("V15_all_models", _all_models)
+    add("M14_linear_stack", _linear_stack, _linear_stack_sql())
+    add("M16_bayes_std", _bayes_std, BAYES_STD_SQL)
+    add(
+        "M17_refit",
+        _refitted,
+        with_property(
+            "SELECT row_id, round(prediction, 2) AS prediction FROM sc",
+            DATA_CTE,
+            STATS_CTE.replace(" WHERE NOT h", ""),
+            _model_cte("Ridge"),
+            SCORED_CTE,
+        ),
+    )
 
     add(
         "S1_csv_scan",
