@@ -78,7 +78,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per column."""
     found = moment_table(df, columns).withColumn("std", sample_deviation()).collect()  # one row per column
     by_name = {row["column_name"]: row for row in found}
-    quartiles = exact_quantiles(df, {c: QUARTILES for c in columns}, {c: by_name[c]["n"] for c in columns})
+    quartiles = exact_quantiles(df, {c: QUARTILES for c in columns})
     rows = [
         (c, row["n"], row["mean"], row["std"], row["min"], *quartiles[c], row["max"])
         for c, row in ((c, by_name[c]) for c in columns)
@@ -115,7 +115,7 @@ def center_and_spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         sample_kurtosis().alias("kurtosis"),
     )
     by_name = {row["column_name"]: row for row in statistics.collect()}  # one row per column
-    medians = exact_quantiles(df, {c: [0.5] for c in columns}, {c: by_name[c]["n"] for c in columns})
+    medians = exact_quantiles(df, {c: [0.5] for c in columns})
     rows = [
         (c, row["mean"], medians[c][0], row["std"], row["skewness"], row["kurtosis"])
         for c, row in ((c, by_name[c]) for c in columns)
