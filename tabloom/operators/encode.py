@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.operators.ranks import with_rank
+
 MAX_INDICATOR_COLUMNS = 5000
-SINGLE_TASK_LEVELS = 200_000
 
 
 def sorted_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
@@ -25,7 +26,7 @@ def sorted_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]
     )
     found = levels.limit(MAX_INDICATOR_COLUMNS + 1).collect()
     if len(found) > MAX_INDICATOR_COLUMNS:
-        raise ValueError(f"more than {MAX_INDICATOR_COLUMNS} levels in {list(columns)}: use category codes")
+        raise ValueError(f"more than {MAX_INDICATOR_COLUMNS} levels in {list(columns)}: use category codes or one-hot positions")
     return {c: sorted(row["level"] for row in found if row["column_name"] == c) for c in columns}
 
 
@@ -52,26 +53,14 @@ def category_codes(df: DataFrame, column: str, output: str | None = None) -> Dat
     output = output or f"{column}_code"
     level, code = f"__{output}_level", output
     levels = df.select(F.col(column).alias(level)).filter(F.col(level).isNotNull()).distinct()
-    if levels.limit(SINGLE_TASK_LEVELS + 1).count() <= SINGLE_TASK_LEVELS:
-        coded = F.broadcast(levels.withColumn(code, (F.row_number().over(Window.orderBy(level)) - 1).cast("int")))
-        joined = df.join(coded, df[column] == coded[level], "left").drop(level)
-    else:
-        coded = _positions_by_range(levels, level, code)
-        # Nulls match nothing, so they may go anywhere: spread them instead of sending all to one task.
-        spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string"))
-        key = F.coalesce(F.col(column).cast("string"), spread)
-        joined = df.withColumn("__key", key).join(coded, F.col("__key") == F.col(level).cast("string"), "left")
-        joined = joined.drop("__key", level)
+    coded = with_rank(levels, [level], code).select(F.col(level).cast("string").alias(level), code)
+    # Nulls match nothing, so they may go anywhere: spread them instead of sending all to one task.
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string"))
+    key = F.coalesce(F.col(column).cast("string"), spread)
+    joined = df.withColumn("__key", key).join(coded, F.col("__key") == F.col(level), "left").drop("__key", level)
     return joined.withColumn(code, F.coalesce(F.col(code), F.lit(-1)).cast("int"))
 
 
-def _positions_by_range(levels: DataFrame, level: str, code: str) -> DataFrame:
-    """Positions of too many levels for one task: sort in ranges, add the sizes of the ranges before."""
-    ordered = levels.orderBy(level).rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1]))
-    kind = dict(levels.dtypes)[level]
-    return levels.sparkSession.createDataFrame(ordered, f"`{level}` {kind}, `{code}` bigint")
-
-
 @dataclass(frozen=True)
 class TargetStatistics:
     """Smoothed target mean per category.

@@ -8,7 +8,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from tabloom.functions.splits import in_holdout
-from tabloom.operators import encode, prepare
+from tabloom.operators import encode, prepare, ranks
 from tabloom.plans.registry import HOLDOUT_SQL, Catalog, rounded, with_property
 from tabloom.roles import Roles
 from tabloom.session import reused, shared_path
@@ -298,6 +298,23 @@ def register(catalog: Catalog) -> None:
             "ON b.v = kitchen_quality"
         ),
     )
+    sparse = [*NOMINAL, "year_built"]
+
+    def sparse_levels(spark, d):
+        df = property_table(spark, d).select("row_id", *sparse)
+        found = ranks.one_hot_positions(df, ranks.level_positions(df, sparse), sparse, "row_id")
+        return found.select("row_id", F.explode("indices").alias("position"))
+
+    pairs = " UNION ALL ".join(f"SELECT row_id, {i} AS c, CAST({c} AS VARCHAR) AS v FROM prop WHERE {c} IS NOT NULL" for i, c in enumerate(sparse))
+    add(
+        "E7_sparse_levels",
+        sparse_levels,
+        with_property(
+            "SELECT row_id, position FROM pairs JOIN (SELECT c, v, row_number() OVER (ORDER BY c, v) - 1 AS position FROM "
+            "(SELECT DISTINCT c, v FROM pairs) u) l USING (c, v)",
+            f"pairs AS ({pairs})",
+        ),
+    )
     add("E11_native_category", _native_categories)
     add("E12_standard_scale", _scale_all, _scaled_sql("prop"))
     add("E13_column_transformer", _column_transformer, _prepared_sql())

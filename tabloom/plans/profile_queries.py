@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.operators import profile, sets
+from tabloom.operators import profile, ranks, sets
 from tabloom.plans.registry import COLUMNS, NUMBERS, STRINGS, Catalog, rounded, union_all, with_property
 from tabloom.session import reused
 from tabloom.sources.fixture import property_table
@@ -237,6 +237,16 @@ def register(catalog: Catalog) -> None:
     marks = [((i + 0.5) / 99, normal.inv_cdf((i + 0.5) / 99)) for i in range(99)]
     mark_list = ", ".join(f"({p!r}::DOUBLE, {z!r}::DOUBLE)" for p, z in marks)
     wanted = "[" + ", ".join(repr(p) for p, _ in marks) + "]"
+    add(
+        "A15_qq_rows",
+        lambda spark, d: ranks.qq_rows(property_table(spark, d), "road_access_length").select(
+            "row_id", F.round("probability", 9).alias("probability"), "sample_quantile"
+        ),
+        with_property(
+            "SELECT row_id, round((row_number() OVER (ORDER BY road_access_length, row_id) - 0.5E0) / COUNT(*) OVER (), 9) AS probability, "
+            "road_access_length AS sample_quantile FROM prop WHERE road_access_length IS NOT NULL"
+        ),
+    )
     add(
         "A15_qq_points",
         _eager(lambda df: profile.qq_points(df, "target"), ["target"]),

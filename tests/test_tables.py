@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import scalar
 from tabloom.functions.splits import fold_number, in_holdout
-from tabloom.operators import clean, encode, prepare, sets
+from tabloom.operators import clean, encode, prepare, ranks, sets
 from tabloom.roles import Roles, detect_target, first_columns
 from tabloom.sources import sinks
 from tabloom.sources.csv import read_csv
@@ -92,12 +92,43 @@ def test_saved_preparation_equals_fresh_one_and_scores_a_stream(spark, prop, tmp
     assert {r["row_id"]: r["features"] for r in spark.read.parquet(out).collect()} == want
 
 
-def test_level_codes_on_both_paths(spark, monkeypatch):
-    df = spark.createDataFrame([(i, None if i % 3 == 0 else f"k{i % 7}") for i in range(60)], "row_id long, k string")
-    small = {tuple(r) for r in encode.category_codes(df, "k").collect()}
-    monkeypatch.setattr(encode, "SINGLE_TASK_LEVELS", 2)
-    assert {tuple(r) for r in encode.category_codes(df, "k").collect()} == small
-    assert {r[2] for r in small} == {-1, *range(7)}
+def test_level_codes_are_positions_among_sorted_levels(spark):
+    values = [None if i % 3 == 0 else f"k{i % 7}" for i in range(60)] + [f"x{i * 7919 % 500:04}" for i in range(500)]
+    df = spark.createDataFrame(list(enumerate(values)), "row_id long, k string").repartition(7)
+    order = sorted({v for v in values if v is not None})
+    want = {(i, v, -1 if v is None else order.index(v)) for i, v in enumerate(values)}
+    assert {tuple(r) for r in encode.category_codes(df, "k").collect()} == want
+
+
+def test_ranks_within_groups_with_nulls_and_ties(spark):
+    rows = [(None if i % 4 == 0 else i % 4, None if i % 10 == 0 else float(i * 37 % 50), i) for i in range(300)] + [(1, 3.0, 7)] * 50
+    df = spark.createDataFrame(rows, "g int, v double, i long").repartition(6)
+    found = ranks.with_rank(df, ["v"], "place", ["g"]).collect()
+    assert sorted(map(repr, ((r["g"], r["v"], r["i"]) for r in found))) == sorted(map(repr, rows))
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in found if r["g"] == g), key=lambda r: r["place"])
+        assert [r["place"] for r in own] == list(range(len(own))) and {r["place_of"] for r in own} == {len(own)}
+        values = [(r["v"] is not None, r["v"] or 0.0) for r in own]
+        assert values == sorted(values)
+    assert ranks.with_rank(df.limit(0), ["v"]).count() == 0
+
+
+def test_one_hot_positions_equal_dense_vectors(spark):
+    rows = [(i, None if i % 5 == 0 else f"a{i % 3}", f"b{i % 4}") for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, c string, d string")
+    positions = ranks.level_positions(df, ["c", "d"])
+    assert [(r["column_name"], r["level"]) for r in positions.orderBy("position").collect()] == [("c", f"a{k}") for k in range(3)] + [("d", f"b{k}") for k in range(4)]
+    got = {r["row_id"]: r["indices"] for r in ranks.one_hot_positions(df, positions, ["c", "d"], "row_id").collect()}
+    assert got == {i: [*([] if c is None else [int(c[1])]), 3 + int(d[1])] for i, c, d in rows}
+    new = spark.createDataFrame([(1, "zz", None), (2, "a1", "b0")], "row_id long, c string, d string")
+    assert {tuple(r["indices"]) for r in ranks.one_hot_positions(new, positions, ["c", "d"], "row_id").collect()} == {(), (1, 3)}
+
+
+def test_qq_rows_are_all_points(spark):
+    df = spark.createDataFrame([(i, None if i % 9 == 0 else float(i * 17 % 40)) for i in range(90)], "row_id long, x double")
+    rows = sorted(ranks.qq_rows(df, "x").collect(), key=lambda r: r["probability"])
+    assert len(rows) == 80 and [r["sample_quantile"] for r in rows] == sorted(r["sample_quantile"] for r in rows)
+    assert rows[0]["probability"] == 0.5 / 80 and abs(rows[39]["normal_quantile"] + rows[40]["normal_quantile"]) < 1e-12
 
 
 def test_too_many_indicator_columns_is_an_error(spark, monkeypatch):
