@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.operators.encode import TargetStatistics, indicator_columns
+from tabloom.operators.encode import AllTargetStatistics, few_levels, indicator_columns
 from tabloom.operators.histtree import (
     TRAIN,
     VALIDATION,
@@ -437,25 +437,28 @@ class CategoryBoosterModel:
     """A booster with the encodings of its category columns."""
 
     booster: BoosterModel
-    statistics: tuple[TargetStatistics, ...]
-    levels: tuple[DataFrame, ...]
+    statistics: AllTargetStatistics | None
+    levels: DataFrame | None
     indicators: dict[str, list[str]]
 
     def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
-        encoded, names = df, []
-        for statistics, levels in zip(self.statistics, self.levels, strict=True):
-            names.append(f"{statistics.category}__mean")
-            encoded = statistics.encode_new(encoded, levels, names[-1])
+        encoded = df
+        if self.statistics is not None:
+            encoded = self.statistics.encode_new(df, self.levels, _mean_names(self.statistics))
         encoded = _with_indicators(encoded, self.indicators)
         return self.booster.transform(encoded, prediction).select(*df.columns, prediction)
 
 
+def _mean_names(statistics: AllTargetStatistics) -> list[str]:
+    return [f"{c}__mean" for c in statistics.categories]
+
+
 @dataclass(frozen=True)
 class CategoryBooster:
     """Symmetric trees over numbers and categories.
 
     A category with at most ``one_hot_max_size`` levels becomes indicators, any
-    other the ordered target statistics of `TargetStatistics`.
+    other the ordered target statistics of `TargetStatistics`, all of them from one long table.
     """
 
     columns: Sequence[str]
@@ -468,32 +471,22 @@ class CategoryBooster:
 
     def fit(self, df: DataFrame, is_validation: Column | None = None) -> CategoryBoosterModel:
         train = df if is_validation is None else df.filter(~is_validation)
-        indicators: dict[str, list[str]] = {}
-        statistics: list[TargetStatistics] = []
-        level_tables: list[DataFrame] = []
-        for c in self.categories:
-            some = train.select(c).filter(F.col(c).isNotNull()).distinct().limit(self.one_hot_max_size + 1).collect()
-            if len(some) <= self.one_hot_max_size:
-                indicators[c] = sorted(str(row[0]) for row in some)
-            else:
-                statistics.append(TargetStatistics.fit(train, c, self.label, self.key, unit=self.unit))
-                level_tables.append(write_and_reread(statistics[-1].level_table(train), "levels"))
-        encoded = train
-        for s in statistics:  # each from its own three columns, so the plan grows by one join a category
-            name = f"{s.category}__mean"
-            own = s.encode_training(train.select(self.key, s.category, self.label), name).select(self.key, name)
-            encoded = encoded.join(write_and_reread(own, "encoding"), self.key)
-        if is_validation is not None:
-            new = df.filter(is_validation)
-            for s, levels in zip(statistics, level_tables, strict=True):
-                new = s.encode_new(new, levels, f"{s.category}__mean")
-            encoded = encoded.unionByName(new)
+        indicators = few_levels(train, list(self.categories), self.one_hot_max_size)
+        coded = [c for c in self.categories if c not in indicators]
+        statistics, levels, names, encoded = None, None, [], df
+        if coded:
+            statistics = AllTargetStatistics.fit(train, coded, self.label, self.key, unit=self.unit)
+            levels, names = write_and_reread(statistics.level_table(train), "levels"), _mean_names(statistics)
+            encoded = statistics.encode_training(train, names)
+            if is_validation is not None:
+                encoded = encoded.unionByName(statistics.encode_new(df.filter(is_validation), levels, names))
         encoded = _with_indicators(encoded, indicators)
-        names = [*self.columns, *[f"{s.category}__mean" for s in statistics]]
-        names += [f"{c}_{level}" for c, levels in indicators.items() for level in levels]
+        names = [*self.columns, *names, *[f"{c}_{level}" for c, own in indicators.items() for level in own]]
         base = self.booster or symmetric_booster((), self.label)
-        fitted = replace(base, columns=names, label=self.label, key=self.key).fit(encoded, is_validation)
-        return CategoryBoosterModel(fitted, tuple(statistics), tuple(level_tables), indicators)
+        ready = write_and_reread(encoded, "encoded")
+        fitted = replace(base, columns=names, label=self.label, key=self.key).fit(ready, is_validation)
+        release(ready)
+        return CategoryBoosterModel(fitted, statistics, levels, indicators)
 
 
 def _with_indicators(df: DataFrame, indicators: dict[str, list[str]]) -> DataFrame:

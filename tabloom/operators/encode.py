@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tabloom.operators.ranks import with_rank
 
 MAX_INDICATOR_COLUMNS = 5000
+SALTS = 8
 
 
 def sorted_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
@@ -162,5 +163,84 @@ class TargetStatistics:
         return joined.select(*df.columns, self._smoothed(total, n).alias(output))
 
 
+@dataclass(frozen=True)
+class AllTargetStatistics:
+    """`TargetStatistics` of several categories in one long table: a row per row and category.
+
+    Windows, totals and joins are shared, so their number does not grow with the categories; the encodings of
+    a row come together once, by its key, which must be unique.
+    """
+
+    categories: tuple[str, ...]
+    shared: TargetStatistics  # prior, unit and weight belong to the target alone
+
+    @classmethod
+    def fit(cls, df: DataFrame, categories: Sequence[str], target: str, key: str, weight: float = 1.0, unit: float | None = None):
+        return cls(tuple(categories), TargetStatistics.fit(df, categories[0], target, key, weight, unit))
+
+    def __iter__(self) -> Iterator[TargetStatistics]:
+        """The statistics of each category by itself."""
+        return (replace(self.shared, category=c) for c in self.categories)
+
+    def _long(self, df: DataFrame, *more: Column) -> DataFrame:
+        pairs = [
+            F.struct(F.lit(i).alias("c"), F.coalesce(F.col(c).cast("string"), F.lit(TargetStatistics.MISSING)).alias("level"))
+            for i, c in enumerate(self.categories)
+        ]
+        rows = df.select(F.col(self.shared.key).alias("__key"), *more, F.explode(F.array(*pairs)).alias("__pair"))
+        return rows.select("*", F.col("__pair.c").alias("__c"), F.col("__pair.level").alias("__level")).drop("__pair")
+
+    def _wide(self, df: DataFrame, values: DataFrame, names: Sequence[str]) -> DataFrame:
+        """``df`` with a column per category from (__key, __c, value)."""
+        one = values.groupBy("__key").agg(*[F.max(F.when(F.col("__c") == i, F.col("value"))).alias(n) for i, n in enumerate(names)])
+        return df.join(one, df[self.shared.key] == one["__key"]).select(*[df[c] for c in df.columns], *names)
+
+    def encode_training(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
+        """Running statistics over earlier rows, as `TargetStatistics.encode_training` gives them."""
+        s = self.shared
+        order = F.md5(F.col(s.key).cast("string").cast("binary"))
+        rows = self._long(
+            df, order.alias("__order"), F.substring(order, 1, s._digits).alias("__bucket"), _units(s.target, s.unit).alias("__units")
+        )
+        group = ["__c", "__level"]
+        totals = rows.groupBy(*group, "__bucket").agg(F.sum("__units").alias("__total"), F.count("__units").alias("__count"))
+        before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        prefix = totals.select(
+            *group,
+            "__bucket",
+            F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__total_before"),
+            F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__count_before"),
+        )
+        inside = Window.partitionBy(*group, "__bucket").orderBy("__order", "__key").rowsBetween(Window.unboundedPreceding, -1)
+        total = F.coalesce(F.sum("__units").over(inside), F.lit(0)) + F.col("__total_before")
+        n = F.count("__units").over(inside) + F.col("__count_before")
+        met = rows.join(prefix, [*group, "__bucket"])
+        return self._wide(df, met.select("__key", "__c", s._smoothed(total, n).alias("value")), names)
+
+    def level_table(self, df: DataFrame) -> DataFrame:
+        """Total and count per category and level over the training rows."""
+        rows = self._long(df, _units(self.shared.target, self.shared.unit).alias("__units"))
+        return rows.groupBy("__c", "__level").agg(F.sum("__units").alias("__total"), F.count("__units").alias("__count"))
+
+    def encode_new(self, df: DataFrame, levels: DataFrame, names: Sequence[str]) -> DataFrame:
+        """Statistics over all training rows; an unseen level gets the prior.  Rows of a level are spread by a salt."""
+        salt = F.pmod(F.xxhash64("__key"), F.lit(SALTS))
+        salted = levels.withColumn("__salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+        met = self._long(df).withColumn("__salt", salt).join(salted, ["__c", "__level", "__salt"], "left")
+        total, n = F.coalesce("__total", F.lit(0)), F.coalesce("__count", F.lit(0))
+        return self._wide(df, met.select("__key", "__c", self.shared._smoothed(total, n).alias("value")), names)
+
+
+def few_levels(df: DataFrame, columns: Sequence[str], most: int) -> dict[str, list[str]]:
+    """The sorted levels of each column that has at most ``most`` of them; all columns in one job."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("level")) for i, c in enumerate(columns)]))
+    levels = df.select(pairs.alias("p")).select("p.c", "p.level").filter("level IS NOT NULL").distinct()
+    place = F.row_number().over(Window.partitionBy("c").orderBy("level"))
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for row in levels.withColumn("place", place).filter(F.col("place") <= most + 1).orderBy("c", "place").collect():
+        found[columns[row["c"]]].append(row["level"])
+    return {c: v for c, v in found.items() if len(v) <= most}
+
+
 def _units(target: str, unit: float) -> Column:
     return F.round(F.col(target) / F.lit(unit)).cast("bigint")

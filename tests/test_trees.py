@@ -193,3 +193,22 @@ def test_staged_errors_are_those_of_the_cut_models(table):
     first = next((k for k in range(1, 12) if errors[k + 1] >= errors[k]), 12)
     assert cut == first
     assert list(steep.elapsed) == sorted(steep.elapsed) and len(steep.elapsed) == len(steep.curve)
+
+
+def test_statistics_of_all_categories_equal_those_of_each(spark, monkeypatch):
+    from tabloom.operators.encode import AllTargetStatistics, TargetStatistics, few_levels
+
+    monkeypatch.setattr(TargetStatistics, "ROWS_PER_BUCKET", 7)
+    rows = [(i, None if i % 6 == 0 else f"a{i % 4}", f"b{i % 9}", float(i % 13)) for i in range(150)]
+    df = spark.createDataFrame(rows, "row_id long, c string, d string, target double").repartition(4)
+    both = AllTargetStatistics.fit(df, ["c", "d"], "target", "row_id")
+    trained = {r["row_id"]: (r["x"], r["y"]) for r in both.encode_training(df, ["x", "y"]).collect()}
+    levels = both.level_table(df)
+    new = spark.createDataFrame([(1, "a1", "zz"), (2, None, "b3")], "row_id long, c string, d string")
+    coded = {r["row_id"]: (r["x"], r["y"]) for r in both.encode_new(new, levels, ["x", "y"]).collect()}
+    for i, c in enumerate(("c", "d")):
+        one = TargetStatistics.fit(df, c)
+        assert {r["row_id"]: r["m"] for r in one.encode_training(df, "m").collect()} == {k: v[i] for k, v in trained.items()}
+        alone = {r["row_id"]: r["m"] for r in one.encode_new(new, one.level_table(df), "m").collect()}
+        assert alone == {k: v[i] for k, v in coded.items()}
+    assert few_levels(df, ["c", "d"], 4) == {"c": ["a0", "a1", "a2", "a3"]}
