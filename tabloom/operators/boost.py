@@ -196,7 +196,7 @@ class Booster:
         """
         fold = None if is_validation is None else F.when(is_validation, VALIDATION).otherwise(TRAIN)
         held = None if is_validation is None else VALIDATION
-        return fit_together(df, [self], [held], fold, start_from)[0]
+        return fit_together(df, [self], [held], fold, [start_from])[0]
 
     def gradients(self, step: int):
         """Gradient, weight (None for ones) and residual of squared error at the margins of a batch."""
@@ -227,15 +227,20 @@ def fit_together(
     boosters: Sequence[Booster],
     held: Sequence[int | None],
     fold: Column | None = None,
-    start_from: BoosterModel | None = None,
+    start_from: Sequence[BoosterModel | None] | None = None,
 ) -> list[BoosterModel]:
     """Fit several boosters in the same passes over one binned table.
 
     Booster i learns from the rows whose ``fold`` is not ``held[i]``, and measures on the others.  All
     must agree in columns, categories, label, key and number of bins, for they share the bins; these
-    come from every row that one of the boosters learns from.
+    come from every row that one of the boosters learns from, or from the models in ``start_from`` that
+    boosters go on from.
     """
     lead = boosters[0]
+    earlier = [None] * len(boosters) if start_from is None else list(start_from)
+    known = [m.binning for m in earlier if m is not None]
+    if any(b != known[0] for b in known):
+        raise ValueError("models that are continued together must have the same bins")
     for name in ("columns", "categories", "label", "key", "max_bins"):
         if any(getattr(b, name) != getattr(lead, name) for b in boosters):
             raise ValueError(f"boosters that are fitted together must agree in {name}")
@@ -243,12 +248,12 @@ def fit_together(
     labelled = df.filter(F.col(lead.label).isNotNull())
     folded = labelled if fold is None else labelled.withColumn("__fold", F.coalesce(fold.cast("int"), F.lit(-1)))
     moments = _fold_moments(folded, lead.label, fold is not None)
-    if start_from is not None:
-        binning = start_from.binning
+    if known:
+        binning = known[0]
     else:
         learned = folded if len(set(held)) > 1 or held[0] is None else folded.filter(F.col("__fold") != held[0])
         binning = Binning.fit(learned, lead.columns, lead.max_bins, categories=lead.categories)
-    runs = [_Run(b, h, moments, start_from) for b, h in zip(boosters, held, strict=True)]
+    runs = [_Run(b, h, moments, m) for b, h, m in zip(boosters, held, earlier, strict=True)]
     fold_column = None if fold is None else F.col("__fold")
     table = _keep(
         binned_table(folded, binning, lead.label, lead.key, [r.start for r in runs], fold_column, [r.trees for r in runs]), "binned"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
@@ -13,7 +14,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.param import Param
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.metrics import rmse
@@ -46,6 +47,18 @@ class Uniform:
         value = float(np.exp(rng.uniform(np.log(self.low), np.log(self.high))))
         return round(value) if self.integer else value
 
+    def scaled(self, value: float) -> float:
+        """The place of a value in the range, from 0 to 1."""
+        low, high, x = (math.log(v) if self.log else v for v in (self.low, self.high, value))
+        return (x - low) / (high - low) if high > low else 0.5
+
+    def at(self, place: float) -> float | int:
+        """The value at a place in the range."""
+        low, high = (math.log(v) if self.log else v for v in (self.low, self.high))
+        value = low + min(max(place, 0.0), 1.0) * (high - low)
+        value = math.exp(value) if self.log else value
+        return min(max(round(value), math.ceil(self.low)), math.floor(self.high)) if self.integer else value
+
 
 def random_candidates(space: Mapping[str, Uniform], trials: int, seed: int = 42) -> list[Parameters]:
     """Seeded independent draws from the space."""
@@ -53,6 +66,94 @@ def random_candidates(space: Mapping[str, Uniform], trials: int, seed: int = 42)
     return [{name: part.draw(rng) for name, part in space.items()} for _ in range(trials)]
 
 
+def proposals(
+    space: Mapping[str, Uniform],
+    scored: Sequence[tuple[Parameters, float]],
+    count: int,
+    seed: int,
+    good_share: float = 0.25,
+    tried: int = 24,
+) -> list[Parameters]:
+    """New settings where good ones are denser than bad ones.
+
+    The settings with the least scores are good, the others bad.  In each parameter, both are a mixture of normal
+    curves around their values and an even one; ``tried`` draws from the good mixture are made for a proposal, and the one
+    with the largest ratio of the densities is it (Bergstra et al. 2011).  The draws are seeded.
+    """
+    rng = random.Random(seed)
+    ranked = [p for p, _ in sorted(scored, key=lambda t: t[1])]
+    cut = max(1, math.ceil(good_share * len(ranked)))
+    good, bad = ranked[:cut], ranked[cut:]
+
+    def density(part: Uniform, name: str, rows: Sequence[Parameters], place: float) -> float:
+        width = max(0.05, (len(rows) + 1) ** -0.5 / 2)
+        curves = [math.exp(-0.5 * ((place - part.scaled(r[name])) / width) ** 2) / (width * math.sqrt(2 * math.pi)) for r in rows]
+        return (1.0 + sum(curves)) / (len(rows) + 1)
+
+    def drawn(part: Uniform, name: str) -> float:
+        chosen = rng.randrange(len(good) + 1)
+        if chosen == len(good):
+            return rng.random()
+        return min(max(rng.gauss(part.scaled(good[chosen][name]), max(0.05, (len(good) + 1) ** -0.5 / 2)), 0.0), 1.0)
+
+    found = []
+    for _ in range(count):
+        best = None
+        for _ in range(tried):
+            places = {name: drawn(part, name) for name, part in space.items()}
+            ratio = sum(
+                math.log(density(part, name, good, places[name])) - math.log(density(part, name, bad, places[name]))
+                for name, part in space.items()
+            )
+            if best is None or ratio > best[0]:
+                best = ratio, places
+        found.append({name: part.at(best[1][name]) for name, part in space.items()})
+    return found
+
+
+def adaptive_search(
+    df: DataFrame,
+    booster: Booster,
+    space: Mapping[str, Uniform],
+    is_validation: Column,
+    rounds: int = 3,
+    per_round: int = 6,
+    rungs: Sequence[int] = (5, 10, 20),
+    keep: float = 0.5,
+    seed: int = 42,
+) -> tuple[BoosterModel, DataFrame]:
+    """Search by successive halving, each round proposed from what the earlier ones found.
+
+    A round's settings grow together, to the trees of the first rung; the better share of them goes on from its
+    models to the next rung, and so on.  The first round is drawn at random, the others come from `proposals` over
+    the errors at the first rung, which all settings reach.  Returns the best model of the last rung and
+    (trial_id, params, fold, score), the fold being the rung.  Persist ``df``.
+    """
+    fold = F.when(is_validation, 1).otherwise(0)
+    scored: list[tuple[Parameters, float]] = []
+    rows, best = [], None
+    for turn in range(rounds):
+        settings = random_candidates(space, per_round, seed) if not scored else proposals(space, scored, per_round, seed + turn)
+        alive = [(turn * per_round + i, c, None) for i, c in enumerate(settings)]
+        for rung, trees in enumerate(rungs):
+            more = trees - (rungs[rung - 1] if rung else 0)
+            boosters = [booster.with_params(**c).with_params(trees=more, patience=None, cut_to_best=False) for _, c, _ in alive]
+            models = fit_together(df, boosters, [1] * len(alive), fold, [m for _, _, m in alive])
+            errors = [next(e for i, part, e, _ in reversed(m.curve) if part == "validation") for m in models]
+            for (trial, c, _), error in zip(alive, errors, strict=True):
+                rows.append((trial, {name: float(v) for name, v in c.items()}, rung, error))
+                if rung == 0:
+                    scored.append((c, error))
+            order = sorted(range(len(alive)), key=lambda i: (errors[i], i))
+            if rung == len(rungs) - 1:
+                if best is None or errors[order[0]] < best[0]:
+                    best = errors[order[0]], models[order[0]]
+            else:
+                order = order[: max(1, math.ceil(keep * len(alive)))]
+                alive = [(alive[i][0], alive[i][1], models[i]) for i in sorted(order)]
+    return best[1], df.sparkSession.createDataFrame(rows, TRIAL_SCHEMA)
+
+
 def run_trials(
     spark: SparkSession,
     candidates: Sequence[Parameters],

@@ -268,6 +268,16 @@ def _wide_grid(spark, d):
     return rounded(tune.trial_scores(trials))
 
 
+def _adaptive(spark, d):
+    """Successive halving over step size, depth and penalty, the later settings proposed from the earlier ones."""
+    space = {"learning_rate": tune.Uniform(0.05, 0.9, log=True), "max_depth": tune.Uniform(2, 5, integer=True), "l2": tune.Uniform(0.5, 50.0, log=True)}
+    with reused(_labelled(spark, d, *WIDE[:12])) as df:
+        _, trials = tune.adaptive_search(
+            df, level_booster(WIDE[:12]), space, F.col("is_holdout"), rounds=2, per_round=4, rungs=(2, 4, 8)
+        )
+    return rounded(trials.withColumnRenamed("fold", "rung"))
+
+
 def _wide_stack(spark, d):
     """Three kinds of boosters, each with the models of five folds grown together, and least squares on top."""
     settings = {"trees": 10, "learning_rate": 0.3, "patience": None}
@@ -316,3 +326,4 @@ def register(catalog: Catalog) -> None:
     add("M12_gbt_full", _fitted(CategoryBooster(WIDE, STRINGS, booster=symmetric_booster((), trees=10, learning_rate=0.3, max_bins=64))))
     add("V10_booster_grid_full", _wide_grid)
     add("M14_stacking_full", _wide_stack)
+    add("V12_adaptive_search", _adaptive)

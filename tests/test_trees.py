@@ -212,3 +212,34 @@ def test_statistics_of_all_categories_equal_those_of_each(spark, monkeypatch):
         alone = {r["row_id"]: r["m"] for r in one.encode_new(new, one.level_table(df), "m").collect()}
         assert alone == {k: v[i] for k, v in coded.items()}
     assert few_levels(df, ["c", "d"], 4) == {"c": ["a0", "a1", "a2", "a3"]}
+
+
+SPACE = {"learning_rate": tune.Uniform(0.01, 1.0, log=True), "max_depth": tune.Uniform(1, 3, integer=True)}
+
+
+def test_halving_goes_on_from_models_and_finds_the_same_on_any_partitioning(table):
+    base = level_booster(["a", "b"])
+    search = {"rounds": 2, "per_round": 4, "rungs": (1, 3, 5)}
+    model, trials = tune.adaptive_search(table, base, SPACE, F.col("fold") == 0, **search)
+    again, others = tune.adaptive_search(table.repartition(6), base, SPACE, F.col("fold") == 0, **search)
+    rows = sorted(trials.collect(), key=lambda r: (r["trial_id"], r["fold"]))
+    same = sorted(others.collect(), key=lambda r: (r["trial_id"], r["fold"]))
+    assert [(r["trial_id"], r["params"], r["fold"]) for r in rows] == [(r["trial_id"], r["params"], r["fold"]) for r in same]
+    assert [sum(r["fold"] == k for r in rows) for k in range(3)] == [8, 4, 2]
+    last = [r for r in rows if r["fold"] == 2]
+    best = min(last, key=lambda r: r["score"])
+    params = {**best["params"], "max_depth": int(best["params"]["max_depth"])}
+    alone = base.with_params(**params, trees=5).fit(table, F.col("fold") == 0)
+    np.testing.assert_allclose(column(model.transform(table)), column(alone.transform(table)), rtol=1e-9)
+    np.testing.assert_allclose(column(again.transform(table)), column(alone.transform(table)), rtol=1e-9)
+    held = table.filter("fold = 0")
+    assert best["score"] == pytest.approx(tune.holdout_rmse(alone.transform(held), "label"))
+
+
+def test_proposals_gather_where_good_settings_are():
+    scored = [({"learning_rate": r, "max_depth": d}, abs(np.log(r / 0.1)) + abs(d - 2)) for r in (0.01, 0.05, 0.1, 0.12, 0.5, 1.0) for d in (1, 2, 3)]
+    found = tune.proposals(SPACE, scored, 40, seed=1)
+    assert found == tune.proposals(SPACE, scored, 40, seed=1) != tune.proposals(SPACE, scored, 40, seed=2)
+    assert all(0.01 <= p["learning_rate"] <= 1.0 and p["max_depth"] in (1, 2, 3) for p in found)
+    near = np.mean([0.03 < p["learning_rate"] < 0.3 for p in found])
+    assert near > 0.8 and np.mean([p["max_depth"] == 2 for p in found]) > 0.5
