@@ -233,14 +233,14 @@ def binned_table(
                 for tree in own:
                     state[:, m] += tree.predict(bins)
             yield pa.RecordBatch.from_arrays(
-                [_bytes_column(bins), batch.column(d), _bytes_column(state), batch.column(d + 1), batch.column(d + 2)],
+                [bytes_column(bins), batch.column(d), bytes_column(state), batch.column(d + 1), batch.column(d + 2)],
                 names=["bins", "y", "state", "u", "fold"],
             )
 
     return source.mapInArrow(encode, BINNED_SCHEMA)
 
 
-def _bytes_column(matrix: np.ndarray) -> pa.Array:
+def bytes_column(matrix: np.ndarray) -> pa.Array:
     n, d = matrix.shape
     fixed = pa.FixedSizeBinaryArray.from_buffers(
         pa.binary(d * matrix.itemsize), n, [None, pa.py_buffer(np.ascontiguousarray(matrix))]
@@ -283,7 +283,7 @@ def with_state(table: DataFrame, width: int, change: Callable[[Batch], np.ndarra
         for arrow in batches:
             state = change(Batch.of(arrow, width))
             yield pa.RecordBatch.from_arrays(
-                [arrow.column(0), arrow.column(1), _bytes_column(state), arrow.column(3), arrow.column(4)],
+                [arrow.column(0), arrow.column(1), bytes_column(state), arrow.column(3), arrow.column(4)],
                 names=["bins", "y", "state", "u", "fold"],
             )
 
@@ -892,7 +892,7 @@ def _finish_locally(table: DataFrame, binning: Binning, tasks: Sequence[TreeTask
                     columns = [
                         pa.array(np.full(len(pick), i, dtype=np.int32)),
                         pa.array(node[pick].astype(np.int32)),
-                        _bytes_column(batch.bins[pick]),
+                        bytes_column(batch.bins[pick]),
                         pa.array(g[pick]),
                         pa.array(h[pick]),
                     ]

@@ -3,12 +3,13 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from tabloom.functions.splits import row_hash
 from tabloom.operators import tune
 from tabloom.operators.adaboost import AdaBoostR2
 from tabloom.operators.bayes import BayesianRidge
 from tabloom.operators.boost import Booster, BoosterModel, CategoryBooster, leaf_booster, level_booster, symmetric_booster
 from tabloom.operators.gaussian import GaussianProcess
-from tabloom.operators.histtree import Growth, SplitRules
+from tabloom.operators.histtree import Growth, SplitRules, uniform_draw
 from tabloom.operators.linear import ElasticNet, Lasso, Ols, Ridge, polynomial_regression
 from tabloom.operators.stack import out_of_fold, stack
 
@@ -244,6 +245,37 @@ def test_adaboost_equals_brute_force(table, data):
     np.testing.assert_allclose(column(model.transform(table)), want, rtol=1e-9)
 
 
+@pytest.mark.parametrize("range_rows", [10**6, 50])
+def test_resampled_adaboost_equals_brute_force(table, data, range_rows):
+    x, y = data
+    hashes = {r["row_id"]: r["u"] for r in table.select("row_id", row_hash().alias("u")).collect()}
+    order = np.array(sorted(range(ROWS), key=hashes.get))
+    weight, trees, votes, rate = np.ones(ROWS), [], [], 0.5
+    for step in range(3):
+        gap, start = weight.sum() / ROWS, uniform_draw(np.array([step], dtype=np.uint64), 42, step)[0]
+        edges = np.concatenate([[0.0], np.cumsum(weight[order])])
+        drawn = np.zeros(ROWS)
+        drawn[order] = np.diff(np.floor(edges / gap + start))
+        assert drawn.sum() == ROWS
+        plain = PlainTree(x, -drawn * y, drawn, 0.0)
+        kept = plain.leaves("level", 2, 10**6)
+        fitted = plain.fitted([r for r in kept if drawn[r].sum()])
+        error = np.abs(y - fitted)
+        average = (weight * error).sum() / (error.max() * weight.sum())
+        assert average < 0.5
+        beta = average / (1 - average)
+        trees.append(fitted)
+        votes.append(rate * np.log(1 / beta))
+        weight = weight * beta ** ((1 - error / error.max()) * rate)
+    outputs, votes = np.column_stack(trees), np.array(votes)
+    best = np.argsort(outputs, axis=1)
+    reached = np.cumsum(votes[best], axis=1)
+    middle = np.argmax(reached >= 0.5 * reached[:, -1:], axis=1)
+    want = outputs[np.arange(ROWS), best[np.arange(ROWS), middle]]
+    booster = AdaBoostR2(COLUMNS, rounds=3, max_depth=2, learning_rate=rate, resample=True, range_rows=range_rows)
+    np.testing.assert_allclose(column(booster.fit(table.repartition(3)).transform(table)), want, rtol=1e-9)
+
+
 def test_out_of_fold_covers_every_row_once_and_stacking_combines(table):
     fit = lambda train, _: Ols().fit(train)
     oof, mean = out_of_fold(vectors(table), fit, 3, test=vectors(table))
