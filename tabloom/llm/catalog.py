@@ -61,7 +61,8 @@ LISTED_HOST = r"(^|\.)(" + "|".join(LISTED) + r"|casino[a-z0-9-]*)(\.|$)"
 
 def url_query(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
-    return url_filter.url_verdicts(pages, RULES, F.col("host").rlike(LISTED_HOST))
+    hosts = pages.select(url_filter.url_parts(F.col("url"))[0].alias("host"))
+    return url_filter.url_verdicts(pages, RULES, hosts.where(F.col("host").rlike(LISTED_HOST)))
 
 
 URL_SQL = rf"""

@@ -6,7 +6,7 @@ level lets nothing wrong through.  Over the complete universe of keys the walk
 through the levels is then exact, and urls are judged without a join: the
 filters are all a task needs.
 
-Filters are built in tasks: each ORs its keys into words of 64 bits, words are
+The list is a table; its keys meet the universe when the filters are built.  Filters are built in tasks: each ORs its keys into words of 64 bits, words are
 merged by their place.  Keys are cut into shards by hash so that the filters of
 one pass hold at most ``PASS_BYTES``; a longer list takes more passes.
 """
@@ -94,22 +94,24 @@ def build_cascade(keys: DataFrame) -> list[np.ndarray]:
         levels.append(filter_of(wrong, n, len(levels)))
 
 
-def listed_flags(rows: DataFrame, key: str, is_listed: Column, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def listed_flags(rows: DataFrame, key: str, is_listed: Column | DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """``rows`` with a column ``listed``: whether the row's key is a listed one.
 
-    The universe is every key in ``rows``; ``is_listed`` says over the column
-    ``key`` which are listed, and is evaluated once per key.  A missing key is
-    the empty key.
+    The universe is every key in ``rows``.  ``is_listed`` is a table of any size
+    whose first column holds the listed keys, repeated or unseen ones too, or a condition over the
+    column ``key``; either meets every key of the universe once, when the filters are built.  A
+    missing key is the empty key, in ``rows`` and in the list.
     """
     name = F.coalesce(F.col(key), F.lit(""))
     hashed = rows.withColumn("_a", F.xxhash64(F.lit("a"), name)).withColumn("_b", F.xxhash64(F.lit("b"), name))
     universe = rows.select(name.alias(key)).distinct()
-    keys = write_and_reread(
-        universe.select(
-            F.xxhash64(F.lit("a"), F.col(key)).alias("a"), F.xxhash64(F.lit("b"), F.col(key)).alias("b"), is_listed.alias("listed")
-        ),
-        "url-keys",
-    )
+    if isinstance(is_listed, DataFrame):
+        own = is_listed.select(F.coalesce(F.col(f"`{is_listed.columns[0]}`"), F.lit("")).alias(key)).distinct()
+        told = universe.join(own.withColumn("listed", F.lit(True)), key, "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    else:
+        told = universe.withColumn("listed", is_listed)
+    halves = [F.xxhash64(F.lit(side), F.col(key)).alias(side) for side in "ab"]
+    keys = write_and_reread(told.select(*halves, "listed"), "url-keys")
     # Any level holds part of one kind of keys: the larger kind bounds it, and four of the largest bound all.
     larger = keys.groupBy("listed").count().agg(F.max("count")).first()[0] or 0
     shards = max(1, math.ceil(4 * larger * BITS_PER_KEY / 8 / pass_bytes))
@@ -129,10 +131,10 @@ def listed_flags(rows: DataFrame, key: str, is_listed: Column, pass_bytes: int =
     return out.drop("_a", "_b")
 
 
-def url_verdicts(pages: DataFrame, rules: Sequence[Rule], is_listed: Column) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: Sequence[Rule], is_listed: Column | DataFrame) -> DataFrame:
     """Host, path, rule and verdict of each page.
 
-    ``is_listed`` says over the column ``host`` which hosts are listed.  A
+    ``is_listed`` is a table of listed hosts, or a condition over the column ``host``.  A
     missing url has an empty host, which no rule fits.  Repeated rows are
     judged alike, and an empty table gives an empty result.
     """

@@ -106,3 +106,15 @@ def test_equal_rows_are_dealt_over_shards(spark):
     assert len(rows) == 900 and len(sizes) == 9 and max(sizes.values()) < 160
     places = {(r["shard"], r["bin"], r["doc_id"]) for r in rows}
     assert len(places) == 900  # copies never share a bin
+
+
+def test_listed_keys_may_be_a_table(spark):
+    rng = random.Random(21)
+    keys = [None, "", *[f"host{i}.example" for i in range(400)]]
+    rows = spark.createDataFrame([(i, rng.choice(keys)) for i in range(3000)], "page_id long, host string")
+    for chosen in (set(rng.sample([k for k in keys if k], 150)), {""}, {None}, set()):
+        table = spark.createDataFrame([(k,) for k in [*chosen, *chosen, "never.seen"]], "name string")
+        listed = {k or "" for k in chosen}
+        for pass_bytes in (url_filter.PASS_BYTES, 200):
+            got = url_filter.listed_flags(rows, "host", table, pass_bytes).collect()
+            assert len(got) == 3000 and all(r["listed"] == ((r["host"] or "") in listed) for r in got)
