@@ -4,8 +4,9 @@ The base rules find well-formed e-mail addresses, IP addresses, card and phone
 numbers.  The field adds spans that are like them without being well formed.
 It scores whole segments, so its features can ask what no token can tell: how
 many digits a segment has in all, whether they pass Luhn, how it is built, what
-stands around it.  Dynamic programming over the tokens of a window, with
-segments of at most ``MAX_TOKENS`` tokens, picks boundaries and types together.
+stands around it.  A further weight for each two kinds says how likely one follows the
+other as the next entity of a window.  Dynamic programming over tokens and the kind of the entity
+before, with segments of at most ``MAX_TOKENS`` tokens, picks boundaries and types together.
 
 The weights are fitted here by gradient steps on the likelihood.  The rows are
 windows of the corpus with the base rules' spans as labels, the
@@ -185,29 +186,65 @@ def _scores(weights: np.ndarray, found) -> np.ndarray:
     return np.array([weights[:, list(s[4])].sum(axis=1) for s in found]).reshape(-1, len(KINDS))
 
 
+def _follow(weights: np.ndarray) -> np.ndarray:
+    """Weights of the entity before: a row per kind, a column for none yet and one per earlier kind."""
+    own = weights[:, len(NAMES) :]
+    return own if own.shape[1] else np.zeros((len(KINDS), len(KINDS) + 1))
+
+
 def _gradient(weights: np.ndarray, n: int, found, gold: dict[tuple[int, int], int]) -> np.ndarray:
     """Of the log likelihood of one window: features of the labels less their expectation."""
-    scores = _scores(weights, found)
+    scores, follow = _scores(weights, found), _follow(weights)
+    forward, backward = _sums(n, found, scores, follow)
+    total = np.logaddexp.reduce(forward[n])
+    grad, features = np.zeros_like(weights), len(NAMES)
+    for k, s in enumerate(found):
+        # by kind and kind before
+        expected = np.exp(forward[s[0]] + follow + (scores[k] + backward[s[1], 1:])[:, None] - total)
+        grad[:, list(s[4])] -= expected.sum(axis=1)[:, None]
+        grad[:, features:] -= expected
+    before = 0
+    for k, s in sorted(enumerate(found), key=lambda x: x[1][2]):
+        kind = gold.get((s[2], s[3]))
+        if kind is not None:
+            grad[kind, list(s[4])] += 1
+            grad[kind, features + before] += 1
+            before = kind + 1
+    return grad
+
+
+def _sums(n: int, found, scores: np.ndarray, follow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log sums over all paths up to and from each token, by the kind of the last entity (0: none yet)."""
     starts: dict[int, list[int]] = {}
     ends: dict[int, list[int]] = {}
     for k, s in enumerate(found):
         starts.setdefault(s[0], []).append(k)
         ends.setdefault(s[1], []).append(k)
-    sums = np.logaddexp.reduce(scores, axis=1) if len(found) else np.zeros(0)
-    forward, backward = np.zeros(n + 1), np.zeros(n + 1)
+    states = len(KINDS) + 1
+    forward, backward = np.full((n + 1, states), -np.inf), np.zeros((n + 1, states))
+    forward[0, 0] = 0.0
     for t in range(1, n + 1):
-        forward[t] = np.logaddexp.reduce([forward[t - 1], *(forward[found[k][0]] + sums[k] for k in ends.get(t, ()))])
+        forward[t] = forward[t - 1]
+        for k in ends.get(t, ()):
+            reached = np.logaddexp.reduce(forward[found[k][0]] + follow, axis=1) + scores[k]
+            forward[t, 1:] = np.logaddexp(forward[t, 1:], reached)
     for t in range(n - 1, -1, -1):
-        backward[t] = np.logaddexp.reduce([backward[t + 1], *(backward[found[k][1]] + sums[k] for k in starts.get(t, ()))])
-    grad = np.zeros_like(weights)
-    for k, s in enumerate(found):
-        expected = np.exp(forward[s[0]] + scores[k] + backward[s[1]] - forward[n])
-        on = list(s[4])
-        grad[:, on] -= expected[:, None]
+        backward[t] = backward[t + 1]
+        for k in starts.get(t, ()):
+            onward = np.logaddexp.reduce(follow + (scores[k] + backward[found[k][1], 1:])[:, None], axis=0)
+            backward[t] = np.logaddexp(backward[t], onward)
+    return forward, backward
+
+
+def log_likelihood(weights: np.ndarray, n: int, found, gold: dict[tuple[int, int], int]) -> float:
+    """Of the labels of one window that are candidates."""
+    scores, follow = _scores(weights, found), _follow(weights)
+    total, before = 0.0, 0
+    for k, s in sorted(enumerate(found), key=lambda x: x[1][2]):
         kind = gold.get((s[2], s[3]))
         if kind is not None:
-            grad[kind, on] += 1
-    return grad
+            total, before = total + scores[k, kind] + follow[kind, before], kind + 1
+    return float(total - np.logaddexp.reduce(_sums(n, found, scores, follow)[0][n]))
 
 
 def variants(window: str, gold: dict[tuple[int, int], int]):
@@ -236,7 +273,7 @@ def fit(rows: list[str]) -> np.ndarray:
             n, found = segments(text)
             if found:
                 data.append((n, found, marks))
-    weights = np.zeros((len(KINDS), len(NAMES)))
+    weights = np.zeros((len(KINDS), len(NAMES) + len(KINDS) + 1))
     square = np.full_like(weights, 1e-6)
     for _ in range(EPOCHS):
         for begin in range(0, len(data), 16):
@@ -251,25 +288,30 @@ def best_path(weights: np.ndarray, window: str) -> list[tuple[int, int, int]]:
     n, found = segments(window)
     if not found:
         return []
-    scores = _scores(weights, found)
-    kinds, tops = scores.argmax(axis=1), scores.max(axis=1)
+    scores, follow = _scores(weights, found), _follow(weights)
     ends: dict[int, list[int]] = {}
     for k, s in enumerate(found):
         ends.setdefault(s[1], []).append(k)
-    best, back = [0.0] * (n + 1), [-1] * (n + 1)
+    best = np.full((n + 1, len(KINDS) + 1), -np.inf)
+    best[0, 0] = 0.0
+    back: dict[tuple[int, int], tuple[int, int]] = {}  # token and last kind: the candidate, and the kind before it
     for t in range(1, n + 1):
         best[t] = best[t - 1]
         for k in ends.get(t, ()):
-            if tops[k] >= LEAST_ODDS and best[found[k][0]] + tops[k] > best[t]:
-                best[t], back[t] = best[found[k][0]] + tops[k], k
-    out, t = [], n
+            odds = follow + scores[k][:, None]  # by kind and kind before
+            reached = np.where(odds >= LEAST_ODDS, best[found[k][0]] + odds, -np.inf)
+            for kind in np.flatnonzero(reached.max(axis=1) > best[t, 1:]).tolist():
+                before = int(reached[kind].argmax())
+                best[t, kind + 1] = reached[kind, before]
+                back[t, kind + 1] = k, before
+    out, t, state = [], n, int(best[n].argmax())
     while t > 0:
-        if back[t] < 0:
-            t -= 1
+        if (t, state) in back and best[t, state] > best[t - 1, state]:
+            k, before = back[t, state]
+            out.append((state - 1, found[k][2], found[k][3]))
+            t, state = found[k][0], before
         else:
-            s = found[back[t]]
-            out.append((int(kinds[back[t]]), s[2], s[3]))
-            t = s[0]
+            t -= 1
     return out[::-1]
 
 

@@ -68,6 +68,69 @@ def test_best_path_is_the_best_segmentation():
         assert abs(sum(tops[by_place[s, e]] for _, s, e in path) - best) < 1e-9 or len(path) > 3
 
 
+def field(rng, mean=0.3):
+    return rng.normal(mean, 1.0, (len(pii.KINDS), len(pii.NAMES) + len(pii.KINDS) + 1))
+
+
+def paths(found, at=0):
+    """All sets of candidates that do not overlap, in order."""
+    yield ()
+    for k, s in enumerate(found):
+        if s[0] >= at:
+            yield from ((k, *rest) for rest in paths(found, s[1]))
+
+
+def test_best_path_weighs_the_entity_before():
+    rng = np.random.default_rng(4)
+    for trial in range(12):
+        for window in ("12 a@b.c 34", "1 a2 b3 c4 d5", "10.0.0.1"):
+            weights = field(rng)
+            n, found = pii.segments(window)
+            scores, follow = pii._scores(weights, found), pii._follow(weights)
+            best = 0.0
+            for path in paths(found):
+                for kinds in itertools.product(range(len(pii.KINDS)), repeat=len(path)):
+                    odds = [scores[k, c] + follow[c, b] for k, c, b in zip(path, kinds, (0, *(c + 1 for c in kinds)))]
+                    if all(o >= pii.LEAST_ODDS for o in odds):
+                        best = max(best, sum(odds))
+            place, total, before = {(s[2], s[3]): k for k, s in enumerate(found)}, 0.0, 0
+            got = pii.best_path(weights, window)
+            for kind, start, end in got:
+                odds = scores[place[start, end], kind] + follow[kind, before]
+                assert odds >= pii.LEAST_ODDS
+                total, before = total + odds, kind + 1
+            assert all(a[2] <= b[1] for a, b in zip(got, got[1:])) and abs(total - best) < 1e-9
+
+
+def test_likelihood_sums_over_all_paths():
+    rng = np.random.default_rng(5)
+    weights = field(rng)
+    n, found = pii.segments("1 a2 b@c.d")
+    scores, follow = pii._scores(weights, found), pii._follow(weights)
+    every = [
+        sum(scores[k, c] + follow[c, b] for k, c, b in zip(path, kinds, (0, *(c + 1 for c in kinds))))
+        for path in paths(found)
+        for kinds in itertools.product(range(len(pii.KINDS)), repeat=len(path))
+    ]
+    assert abs(pii.log_likelihood(weights, n, found, {}) + np.logaddexp.reduce(every)) < 1e-9
+
+
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(6)
+    weights = field(rng, 0.0)
+    n, found = pii.segments("mail a@b.c, card 4111 1111 1111 1111 or +1 743 555-3824")
+    gold = {(5, 10): 0, (17, 36): 2, (40, 55): 3}
+    assert set(gold) <= {(s[2], s[3]) for s in found}
+    grad = pii._gradient(weights, n, found, gold)
+    for _ in range(60):
+        at = (rng.integers(weights.shape[0]), rng.integers(weights.shape[1]))
+        step = np.zeros_like(weights)
+        step[at] = 1e-5
+        slope = (pii.log_likelihood(weights + step, n, found, gold) - pii.log_likelihood(weights - step, n, found, gold)) / 2e-5
+        assert abs(slope - grad[at]) < 1e-6
+    assert np.abs(grad[:, len(pii.NAMES) :]).max() > 0.01
+
+
 def test_field_learns_its_labels_and_finds_what_is_like_them():
     rng = random.Random(2)
     rows = []
