@@ -21,8 +21,8 @@ cloud the members of different components are compared on full sets, block by
 block: a task holds two blocks of bounded size, counts common shingles by matrix
 products and gives back one link for each two components.  No pairs are written
 out.  A band with more than ``BAND_REPS`` members is parted by its neighbours first:
-a pair that shares four bands has two of them within ``NEXT_BANDS`` and stays
-together.  Short texts fill few bands, so they do not rely on that: their sets meet
+a pair that shares four of 32 bands, or six of 43, has two of them within ``NEXT_BANDS``
+and stays together.  Short texts fill few bands, so they do not rely on that: their sets meet
 by what is left when one or two shingles are taken away, which misses no link.
 
 Nothing about all documents passes through the driver: it sees counts.
