@@ -302,18 +302,30 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
     schema = "column_name string, bin int, bin_low double, n bigint"
     if not ranges:
         return _table(df.sparkSession, [], schema)
-    rows = ", ".join(
-        f"'{c}', CAST(`{c}` AS DOUBLE), CAST({low!r} AS DOUBLE), CAST({high!r} AS DOUBLE)"
-        for c, (low, high) in ranges.items()
-    )
-    long = df.selectExpr(f"stack({len(ranges)}, {rows}) AS (column_name, value, low, high)")
-    long = long.filter("value IS NOT NULL AND NOT isnan(value)")
-    low, high = F.col("low"), F.col("high")
-    counted_bins = long.groupBy(
-        "column_name", "low", "high", bin_number(F.col("value"), low, high, bins).alias("bin")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    edge = low + F.col("bin") * ((high - low) / bins)
-    return counted_bins.select("column_name", "bin", edge.alias("bin_low"), "n")
+    names = list(ranges)
+    low, high = (np.array([ranges[c][k] for c in names], dtype=float) for k in (0, 1))
+
+    def fold(batches):
+        """Counts of a task per column and bin."""
+        counts = np.zeros((len(names), bins), dtype=np.int64)
+        for batch in batches:
+            for i in range(len(names)):
+                x = batch.column(i).to_numpy(zero_copy_only=False)
+                x = x[~np.isnan(x)]
+                if low[i] == high[i]:
+                    counts[i, 0] += len(x)
+                else:
+                    at = np.minimum(np.floor((x - low[i]) * bins / (high[i] - low[i])), bins - 1).astype(np.int64)
+                    counts[i] += np.bincount(at, minlength=bins)
+        i, k = np.nonzero(counts)
+        columns = [i.astype(np.int32), k.astype(np.int32), counts[i, k]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "bin", "n"])
+
+    partial = df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(names)]).mapInArrow(fold, "i int, bin int, n bigint")
+    label, start, end = (F.array(*[F.lit(v) for v in values]) for values in (names, low.tolist(), high.tolist()))
+    own, top = F.get(start, F.col("i")), F.get(end, F.col("i"))
+    edge = own + F.col("bin") * ((top - own) / bins)
+    return merged(partial, ["i", "bin"], ["n"]).select(F.get(label, F.col("i")).alias("column_name"), "bin", edge.alias("bin_low"), "n")
 
 
 def log_histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:

@@ -10,11 +10,11 @@ from tabloom.session import reused
 from tabloom.sources.fixture import property_table
 from tabloom.sources.tables import read_table
 
-INTS = set(
-    "year_sold month_sold year_built year_remodel overall_quality overall_condition total_rooms full_baths half_baths "
-    "parking_capacity parking_year basement_full_baths basement_half_baths guest_rooms kitchens lounges "
-    "property_class".split()
-)
+INTS = {
+    "year_sold", "month_sold", "year_built", "year_remodel", "overall_quality", "overall_condition", "total_rooms",
+    "full_baths", "half_baths", "parking_capacity", "parking_year", "basement_full_baths", "basement_half_baths",
+    "guest_rooms", "kitchens", "lounges", "property_class",
+}
 DISTINCT_COLUMNS = ["zone", "road_type", "central_ac", "overall_quality"]
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 BIVARIATE = ["land_area", "ground_area", "upper_area", "basement_area", "terrace_area"]

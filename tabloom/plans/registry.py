@@ -12,26 +12,28 @@ from tabloom.sources.fixture import PROPERTY_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-STRINGS = (
-    "kitchen_quality zone road_type fence central_ac basement_type2 basement_height exterior_quality".split()
-)
-NUMBERS = (
-    "year_sold month_sold year_built year_remodel overall_quality overall_condition land_area ground_area "
-    "upper_area basement_area terrace_area pool_area total_rooms full_baths half_baths usable_area "
-    "low_quality_area basement_unfinished_area basement_area1 basement_area2 open_veranda_area "
-    "enclosed_veranda_area screen_porch_area parking_area parking_capacity parking_year facade_area "
-    "road_access_length extra_value basement_full_baths basement_half_baths guest_rooms kitchens lounges "
-    "property_class target"
-).split()
-COLUMNS = (
-    "row_id year_sold month_sold year_built year_remodel overall_quality overall_condition land_area "
-    "ground_area upper_area basement_area terrace_area pool_area total_rooms full_baths half_baths "
-    "kitchen_quality zone road_type fence central_ac usable_area low_quality_area basement_unfinished_area "
-    "basement_area1 basement_area2 open_veranda_area enclosed_veranda_area screen_porch_area parking_area "
-    "parking_capacity parking_year facade_area road_access_length extra_value basement_full_baths "
-    "basement_half_baths guest_rooms kitchens lounges basement_type2 basement_height exterior_quality "
-    "property_class target"
-).split()
+STRINGS = [
+    "kitchen_quality", "zone", "road_type", "fence", "central_ac", "basement_type2", "basement_height",
+    "exterior_quality",
+]
+NUMBERS = [
+    "year_sold", "month_sold", "year_built", "year_remodel", "overall_quality", "overall_condition", "land_area",
+    "ground_area", "upper_area", "basement_area", "terrace_area", "pool_area", "total_rooms", "full_baths",
+    "half_baths", "usable_area", "low_quality_area", "basement_unfinished_area", "basement_area1",
+    "basement_area2", "open_veranda_area", "enclosed_veranda_area", "screen_porch_area", "parking_area",
+    "parking_capacity", "parking_year", "facade_area", "road_access_length", "extra_value", "basement_full_baths",
+    "basement_half_baths", "guest_rooms", "kitchens", "lounges", "property_class", "target",
+]
+COLUMNS = [
+    "row_id", "year_sold", "month_sold", "year_built", "year_remodel", "overall_quality", "overall_condition",
+    "land_area", "ground_area", "upper_area", "basement_area", "terrace_area", "pool_area", "total_rooms",
+    "full_baths", "half_baths", "kitchen_quality", "zone", "road_type", "fence", "central_ac", "usable_area",
+    "low_quality_area", "basement_unfinished_area", "basement_area1", "basement_area2", "open_veranda_area",
+    "enclosed_veranda_area", "screen_porch_area", "parking_area", "parking_capacity", "parking_year",
+    "facade_area", "road_access_length", "extra_value", "basement_full_baths", "basement_half_baths",
+    "guest_rooms", "kitchens", "lounges", "basement_type2", "basement_height", "exterior_quality",
+    "property_class", "target",
+]
 
 HASH_SQL = "CAST(concat('0x', substr(md5(CAST(row_id AS VARCHAR)), 1, 8)) AS BIGINT)"
 HOLDOUT_SQL = f"({HASH_SQL} % 10000 < 2000)"
