@@ -636,6 +636,52 @@ def _gaussian(spark, d):
     return model.transform(scaled.transform(filled.transform(df)), std="std")
 
 
+POINT = {"length": 2.0, "amplitude": 1.5, "noise": 0.2}
+
+
+def _one_point(spark, d):
+    """One inducing point, fixed kernel: mean and deviation in closed form."""
+    df = property_table(spark, d).select("row_id", "target", "overall_quality").withColumns(
+        {"label": log_target(F.col("target")), "is_holdout": in_holdout()}
+    )
+    process = GaussianProcess(
+        ["overall_quality"], points=1, lengths=(POINT["length"],), amplitudes=(POINT["amplitude"],), noises=(POINT["noise"],)
+    )
+    with reused(df) as kept:
+        model = process.fit(kept.filter(~F.col("is_holdout")))
+    scored = model.transform(df, std="std")
+    return scored.select("row_id", F.round("prediction", 6).alias("prediction"), F.round("std", 6).alias("std"))
+
+
+def _one_point_sql() -> str:
+    a, noise, twice = POINT["amplitude"], POINT["noise"], 2 * POINT["length"] ** 2
+    return with_property(
+        f"SELECT row_id, round(my + sy * {a} * k * b / ({noise} * kzz + s), 6) AS prediction, "
+        f"round(sy * sqrt({a} - {a} * k * {a} * k * (1 / kzz - {noise} / ({noise} * kzz + s)) + {noise}), 6) AS std FROM kx, w, m",
+        DATA_CTE,
+        f"z AS (SELECT arg_min(x, hash) AS z FROM (SELECT x, {HASH_SQL} AS hash FROM d WHERE NOT h) t)",
+        "m AS (SELECT AVG(y) AS my, stddev_pop(y) AS sy FROM d WHERE NOT h)",
+        f"kx AS (SELECT row_id, h, y, exp(-(x - z) * (x - z) / {twice}) AS k FROM d, z)",
+        f"w AS (SELECT {a} * (1 + 1e-8) AS kzz, SUM({a} * k * {a} * k) AS s, SUM({a} * k * (y - my) / sy) AS b FROM kx, m WHERE NOT h)",
+    )
+
+
+def _gaussian_fitted(spark, d):
+    """The kernel fitted on all holdout-free rows, on four scaled columns."""
+    columns = FEATURES[:4]
+    df = property_table(spark, d).select("row_id", "target", *columns).withColumns(
+        {"label": log_target(F.col("target")), "is_holdout": in_holdout()}
+    )
+    with reused(df) as kept:
+        train = kept.filter(~F.col("is_holdout"))
+        filled = MedianImputer(inputCols=columns).fit(train)
+        scaled = StandardScale(inputCols=columns).fit(filled.transform(train))
+        ready = scaled.transform(filled.transform(train))
+        model = GaussianProcess(columns, points=128, fit_kernel=True).fit(ready)
+    scored = model.transform(scaled.transform(filled.transform(df.filter("is_holdout"))), std="std")
+    return _back(scored).select("row_id", F.round("prediction", 2).alias("prediction"), F.round("std", 6).alias("std"))
+
+
 def _gaussian_scores(spark, d):
     scored = _gaussian(spark, d).filter("is_holdout")
     return _back(scored).select("row_id", F.round("prediction", 2).alias("prediction"), F.round("std", 6).alias("std"))
@@ -749,6 +795,8 @@ def register(catalog: Catalog) -> None:
     add("M7_random_forest", _forest)
     add("M8_adaboost_r2", _adaboost)
     add("M9_gaussian_process", _gaussian_scores)
+    add("M9_one_point", _one_point, _one_point_sql())
+    add("M9_fitted_kernel", _gaussian_fitted)
     add("M10_gbt_xgb", _boosted(level_booster, **SMALL, l1=0.1, l2=2.0, min_gain=0.01, row_share=0.8))
     add("M10_stump_rounds", _stump_rounds, _stump_rounds_sql())
     add("M11_gbt_lgbm", _boosted(leaf_booster, trees=4, learning_rate=0.3, max_leaves=8))

@@ -108,6 +108,29 @@ def test_gaussian_process_is_exact_with_a_point_per_row(spark):
     assert model.bound == pytest.approx(evidence, abs=1e-3)
 
 
+def test_fitted_kernel_has_the_largest_evidence(spark):
+    rng = np.random.default_rng(7)
+    x = rng.uniform(-3, 3, 60)
+    y = np.sin(1.5 * x) * 2 + rng.normal(0, 0.2, 60)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "row_id long, a double, label double")
+    model = GaussianProcess(["a"], points=64, lengths=(0.3, 1.0, 3.0), fit_kernel=True, passes=5).fit(df.repartition(4))
+    z = (y - y.mean()) / y.std()
+    squares = (x[:, None] - x[None, :]) ** 2
+
+    def evidence(length, amplitude, noise):
+        kernel = amplitude * np.exp(-0.5 * squares / length**2) + noise * np.eye(60)
+        return -0.5 * (z @ np.linalg.solve(kernel, z) + np.linalg.slogdet(kernel)[1] + 60 * np.log(2 * np.pi))
+
+    at = (model.length, model.amplitude, model.noise)
+    assert model.bound == pytest.approx(evidence(*at), abs=0.05)
+    best = max(evidence(a, b, c) for a in np.geomspace(0.2, 5, 40) for b in np.geomspace(0.1, 30, 40) for c in np.geomspace(0.003, 0.1, 30))
+    assert evidence(*at) > best - 0.05
+    for k in range(3):
+        for factor in (0.9, 1.1):
+            moved = [v * factor if i == k else v for i, v in enumerate(at)]
+            assert evidence(*moved) < evidence(*at) + 0.02
+
+
 class PlainTree:
     """A tree grown from raw rows, one node at a time."""
 
