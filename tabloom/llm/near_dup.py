@@ -451,28 +451,32 @@ def short_edges(rows: DataFrame, reps: DataFrame, texts: DataFrame, similarity:
 
     Two sets with the common part K and a and b more shingles are linked where K / (K + a + b) is large
     enough, so both meet under K, and there the one with the fewest more is linked with all that are linked
-    with any: one pair per member joins them.
+    with any: one pair per member joins them.  Of two linked sets of different roots one at least
+    has another root than that set, so pairs under one root are left out.
     """
     lean = reps.where(F.col("n_shingles") <= short_limit(similarity)).select("rep")
-    needed = write_and_reread(lean.join(rows.select("rep").distinct(), "rep", "left_semi"), "dedup-needed")
+    needed = write_and_reread(lean.join(rows.select("rep", "root").distinct(), "rep"), "dedup-needed")
 
     def rests(batches):
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part, out = batch.slice(begin, 256), []
-                for rep, raw in zip(part.column(0).to_pylist(), part.column(1)):
+                for rep, root, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                     values = np.frombuffer(raw.as_buffer(), np.uint64)
                     for gone in range((100 - similarity) * len(values) // 100 + 1):
                         for less in combinations(range(len(values)), gone):
                             rest = xxhash.xxh3_128_digest(np.delete(values, less).tobytes())
-                            out.append((rest, rep, len(values) - gone, gone))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["rest", "rep", "left", "gone"])
+                            out.append((rest, rep, root, len(values) - gone, gone))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["rest", "rep", "root", "left", "gone"])
 
-    met = write_and_reread(set_table(texts, needed).mapInArrow(rests, "rest binary, rep long, left long, gone long"), "dedup-rests")
-    heads = met.groupBy("rest").agg(F.min(F.struct("gone", "rep")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    both = matched(met, heads.select("rest", "head"), "rest")
-    linked = both.where(f"rep <> head.rep AND 100 * left >= {similarity} * (left + gone + head.gone)")
+    sets = needed.join(set_table(texts, needed.select("rep")), "rep").select("rep", "root", "set")
+    met = write_and_reread(sets.mapInArrow(rests, "rest binary, rep long, root long, left long, gone long"), "dedup-rests")
+    heads = met.groupBy("rest").agg(
+        F.min(F.struct("gone", "rep", "root")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    both = matched(met, heads.where("low < high").select("rest", "head"), "rest")
+    linked = both.where(f"root <> head.root AND 100 * left >= {similarity} * (left + gone + head.gone)")
     return linked.select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b"))
 
 
