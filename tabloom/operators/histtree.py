@@ -48,6 +48,7 @@ HISTOGRAM_BYTES = 64 << 20
 TRAIN, VALIDATION = 0, 1
 ROWS, PARENT, FIT = 0, 1, 2  # kinds of histogram rows: summed from rows, a parent's, errors of the model so far
 CHAIN = 3  # tables of arrays that are kept in memory one on top of the other; the next one is written out
+ROWS_AT_ONCE = 256  # rows that a task hands on together
 TIE = 1e-11  # gains this close, relative to the node's score, count as equal
 
 
@@ -531,7 +532,7 @@ def candidate_splits(table: DataFrame, binning: Binning, task: TreeTask) -> Data
 
     def listed(group: pa.Table) -> pa.Table:
         f = group.column("feature")[0].as_py()
-        hist = _summed(group.column("data"), sizes[f])
+        hist = _summed(group.column("data").combine_chunks()).reshape(3, sizes[f])
         gains, left, bins, toward, _ = candidates_of(hist, rules, category[f])
         columns = [pa.array(np.full(len(gains), f, dtype=np.int32)), pa.array(bins.astype(np.int32)), pa.array(toward), pa.array(gains)]
         names = ["feature", "bin", "missing_left", "gain", "g_left", "h_left", "n_left"]
@@ -541,13 +542,9 @@ def candidate_splits(table: DataFrame, binning: Binning, task: TreeTask) -> Data
     return histogram(table, binning, [task], [Tree()], [[Pair(0)]]).groupBy("feature").applyInArrow(listed, schema)
 
 
-def _summed(data: pa.ChunkedArray, bins: int) -> np.ndarray:
-    """The element-wise sum of histogram arrays."""
-    total = np.zeros(3 * bins)
-    for chunk in data.chunks:
-        rows = len(chunk)
-        total += np.frombuffer(_matrix_of(chunk, rows).tobytes(), dtype=np.float64).reshape(rows, -1).sum(axis=0) if rows else 0.0
-    return total.reshape(3, bins)
+def _summed(data: pa.Array) -> np.ndarray:
+    """The element-wise sum of arrays of doubles."""
+    return np.frombuffer(_matrix_of(data, len(data)).tobytes(), dtype=np.float64).reshape(len(data), -1).sum(axis=0)
 
 
 def _splits(
@@ -562,12 +559,12 @@ def _splits(
         for pair in own:
             pairs.setdefault((i, 0 if tasks[i].growth.mode == "symmetric" else pair.parent), []).append(pair)
 
-    def best(group: pa.Table) -> pa.Table:
-        i, f = group.column("tree")[0].as_py(), group.column("feature")[0].as_py()
+    def best(i: int, grp: int, f: int, sums: dict[tuple[int, int], np.ndarray]) -> list[tuple]:
+        """The rows of one (tree, group of nodes, feature) from its sums by (kind, node)."""
         if f < 0:
-            return _fit_table(i, group)
+            return _fit_rows(i, sums[FIT, -1])
         task = tasks[i]
-        hists = _children(group, pairs[i, group.column("grp")[0].as_py()], sizes[f])
+        hists = _children(sums, pairs[i, grp], sizes[f])
         found = []
         if task.growth.mode == "symmetric":
             found = _shared_split(hists, f, task, category[f])
@@ -582,24 +579,44 @@ def _splits(
                 subset = np.array(subsets[k], dtype=np.uint16).tobytes() if subsets is not None else b""
                 found.append((node, f, gains[k], int(bins[k]), bool(toward[k]), subset, *total, *left[:, k]))
         data = [hists[row[0]].tobytes() if keep[i] else b"" for row in found]
-        return _split_table([(i, row[0], row[1], d, *row[2:]) for row, d in zip(found, data, strict=True)])
+        return [(i, row[0], row[1], d, *row[2:]) for row, d in zip(found, data, strict=True)]
 
-    return rows.groupBy("tree", "grp", "feature").applyInArrow(best, SPLIT_SCHEMA)
-
-
-def _children(group: pa.Table, pairs: Sequence[Pair], bins: int) -> dict[int, np.ndarray]:
+    def search(batches):
+        """Rows come in the order of their keys, so one key's sums are held at a time."""
+        key, sums, out = None, {}, []
+        for batch in batches:
+            ids = np.column_stack([batch.column(i).to_numpy() for i in range(5)])  # tree, grp, feature, node, kind
+            edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1), len(ids)]
+            for begin, end in zip(edges, edges[1:]):
+                if begin == end:
+                    continue
+                own = tuple(ids[begin].tolist())
+                if own[:3] != key:
+                    if key is not None:
+                        out += best(*key, sums)
+                    key, sums = own[:3], {}
+                part = _summed(batch.column(5).slice(begin, end - begin))
+                at = (own[4], own[3])
+                sums[at] = sums[at] + part if at in sums else part
+                if len(out) >= ROWS_AT_ONCE:
+                    yield _split_batch(out)
+                    out = []
+        if key is not None:
+            out += best(*key, sums)
+        yield _split_batch(out)
+
+    keys = ["tree", "grp", "feature"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "kind", "node").mapInArrow(search, SPLIT_SCHEMA)
+
+
+def _children(sums: dict[tuple[int, int], np.ndarray], pairs: Sequence[Pair], bins: int) -> dict[int, np.ndarray]:
     """The arrays of built nodes and, by subtraction from the parent's, of their siblings."""
-    nodes, kinds = group.column("node").to_numpy(), group.column("kind").to_numpy()
-    data = group.column("data").combine_chunks()
-    data = data if isinstance(data, pa.ChunkedArray) else pa.chunked_array([data])
-    result = {}
+    result, nothing = {}, np.zeros(3 * bins)
     for pair in pairs:
-        own = np.flatnonzero((kinds == ROWS) & (nodes == pair.built))
-        built = _summed(data.take(pa.array(own)), bins)
+        built = sums.get((ROWS, pair.built), nothing).reshape(3, bins)
         result[pair.built] = built
         if pair.sibling >= 0:
-            above = _summed(data.take(pa.array(np.flatnonzero((kinds == PARENT) & (nodes == pair.parent)))), bins)
-            other = above - built
+            other = sums.get((PARENT, pair.parent), nothing).reshape(3, bins) - built
             result[pair.sibling] = np.where(other[2] > 0, other, 0.0)  # no rounding where no row is left
     return result
 
@@ -620,17 +637,16 @@ def _shared_split(hists: dict[int, np.ndarray], f: int, task: TreeTask, category
     ]
 
 
-def _fit_table(tree: int, group: pa.Table) -> pa.Table:
+def _fit_rows(tree: int, values: np.ndarray) -> list[tuple]:
     """Squared residuals and rows of training (g, h) and validation (g_left, h_left)."""
-    values = np.array([np.frombuffer(d.as_py(), dtype=np.float64) for d in group.column("data")]).sum(axis=0)
-    return _split_table([(tree, -1, -1, b"", 0.0, 0, True, b"", values[0], values[1], 0.0, values[2], values[3], 0.0)])
+    return [(tree, -1, -1, b"", 0.0, 0, True, b"", values[0], values[1], 0.0, values[2], values[3], 0.0)]
 
 
-def _split_table(rows: list[tuple]) -> pa.Table:
+def _split_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.float64(), pa.int32(), pa.bool_(), pa.binary()] + [pa.float64()] * 6
     names = [part.split()[0] for part in SPLIT_SCHEMA.split(", ")]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 # ---------------------------------------------------------------- growth
