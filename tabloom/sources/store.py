@@ -34,7 +34,10 @@ def save_model(model, path: str) -> None:
     state = {}
     for f in fields(model):
         value = getattr(model, f.name)
-        if isinstance(value, tuple) and any(isinstance(x, DataFrame) for x in value):
+        if isinstance(value, DataFrame):
+            value.write.mode("overwrite").parquet(f"{path}/{f.name}")
+            state[f.name] = (True, None)
+        elif isinstance(value, tuple) and any(isinstance(x, DataFrame) for x in value):
             for k, table in enumerate(value):
                 table.write.mode("overwrite").parquet(f"{path}/{f.name}-{k}")
             state[f.name] = (True, len(value))
@@ -47,10 +50,12 @@ def save_model(model, path: str) -> None:
 def load_model(spark: SparkSession, path: str):
     """A model of this library from `save_model`; as with every pickle, only from a place one trusts."""
     kind, state = pickle.loads(bytes(spark.read.parquet(f"{path}/model").first()["model"]))
-    parts = {
-        name: tuple(spark.read.parquet(f"{path}/{name}-{k}") for k in range(value)) if tables else value
-        for name, (tables, value) in state.items()
-    }
+    parts = {}
+    for name, (tables, value) in state.items():
+        if tables and value is None:
+            parts[name] = spark.read.parquet(f"{path}/{name}")
+        else:
+            parts[name] = tuple(spark.read.parquet(f"{path}/{name}-{k}") for k in range(value)) if tables else value
     return kind(**parts)
 
 
