@@ -52,6 +52,57 @@ def test_pieces_encode_like_whole_texts(tokenizer):
             assert ids[edge[k] : edge[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1], repr(t)
 
 
+def test_pieces_that_were_forgotten_come_back(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "MEMORY", 40)
+    rng = random.Random(5)
+    parts = ["tion", "É", "été", "ß", "à", "í", "ÿ", "x", "qu", "ing"]
+    odd = ["end!!!", "a###", "b$$$ c", "x-y)", "d|", "e\u0301...", "1|2", "don't***", "'s###", "<|endoftext|> f|"]
+    texts = [" ".join(rng.choice(odd) if rng.random() < 0.2 else "".join(rng.choices(parts, k=3)) for _ in range(rng.randint(0, 30))) for _ in range(120)]
+    encode = token_files.Encoder(tokenizer)
+    assert encode.of_letters is not None
+    for at in range(0, 120, 20):
+        ids, edge = encode(pa.array(texts[at : at + 20], pa.string()))
+        for k, t in enumerate(texts[at : at + 20]):
+            assert ids[edge[k] : edge[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1], repr(t)
+        assert len(encode.number) == len(encode.size) == len(encode.again)
+
+
+def test_a_word_of_letters_skips_the_steps_that_leave_it_as_it_is(tokenizer):
+    """The calls that made the cost: a new word went through every step of the tokenizer on its own."""
+    encode, calls = token_files.Encoder(tokenizer), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    encode.tokenizer = Counted()
+    encode(pa.array(["one two three### four, Ünïque été", "and 5 x-y"]))
+    assert not [t for t in calls if t.isalpha()]
+
+
+def test_ids_as_bytes_are_the_ids(spark, tokenizer, tmp_path):
+    path = str(tmp_path / "files")
+    token_files.write_token_files(frame(spark, ["one two", None, "x" * 700, "É, ß###"], [5, 3, None, 5]), path, PATH)
+    lists = {(r.start, r.n_tokens, tuple(r.ids)) for r in token_files.read_token_files(spark, path).collect()}
+    raw = token_files.read_token_files(spark, path, as_bytes=True)
+    assert {(r.start, r.n_tokens, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in raw.collect()} == lists
+    same = token_files.with_checksums(token_files.read_token_files(spark, path))
+    assert sorted(map(tuple, token_files.with_checksums(raw).collect()), key=str) == sorted(map(tuple, same.collect()), key=str)
+    assert token_files.with_checksums(raw)._jdf.queryExecution().toString().count("MapInArrow") < same._jdf.queryExecution().toString().count("MapInArrow")
+
+
+def test_lanes_side_by_side_are_coded_like_alone():
+    rng = np.random.default_rng(8)
+    blocks = [[(rng.zipf(1.2, n) % 49_408).astype(np.uint16)] for n in (50_000, 1, 513, 8 * 512, 8 * 512 + 1, 200_000, 4097)]
+    together = token_files.pack_blocks(blocks)
+    assert together == [token_files.pack_blocks([b])[0] for b in blocks]
+    rare = [[np.full(60_000, 49_407, np.uint16)], [np.arange(49_408).astype(np.uint16)[::-1].copy()]]  # carries, and ids that were never seen
+    for some in (blocks, rare):
+        back = token_files.unpack_blocks(token_files.pack_blocks(some))
+        assert all(np.array_equal(a, b) for x, y in zip(some, back) for a, b in zip(x, y))
+
+
 def test_files_come_back(spark, tokenizer, tmp_path):
     rng = random.Random(4)
     texts = [" ".join(words(rng, rng.randint(0, 200))) for _ in range(50)] + ODD
