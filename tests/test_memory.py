@@ -33,3 +33,18 @@ def test_blocks_stay_out_of_the_heap(spark, monkeypatch):
     fit_together(df.coalesce(1), [level_booster(["x"], trees=2, max_depth=1)] * MODELS, [None] * MODELS)
     assert [memory for memory, _ in seen] == [False, False]
     assert seen[0][1] <= 10 << 20  # 17 MB in all
+
+
+def test_reused_frames_stay_out_of_the_heap(spark):
+    with reused(spark.range(5)) as kept:
+        assert kept.storageLevel.useDisk and not kept.storageLevel.useMemory
+
+
+def test_a_pass_sketches_a_few_columns(spark, monkeypatch):
+    columns = [f"x{i}" for i in range(30)]
+    df = spark.range(200).select(*[((F.col("id") * (i + 3)) % 41).cast("double").alias(c) for i, c in enumerate(columns)])
+    want = [Binning.fit(df, [c], 16).borders[0] for c in columns]
+    widths, agg = [], type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *exprs: widths.append(len(exprs)) or agg(self, *exprs))
+    assert list(Binning.fit(df, columns, 16).borders) == want
+    assert widths == [24, 24, 12]
