@@ -48,3 +48,18 @@ def test_a_pass_sketches_a_few_columns(spark, monkeypatch):
     monkeypatch.setattr(type(df), "agg", lambda self, *exprs: widths.append(len(exprs)) or agg(self, *exprs))
     assert list(Binning.fit(df, columns, 16).borders) == want
     assert widths == [24, 24, 12]
+
+
+def test_arrays_of_a_task_leave_it_in_small_batches(monkeypatch):
+    monkeypatch.setattr(histtree, "SENT_BYTES", 4096, raising=False)
+    binning = Binning(tuple("abcdef"), tuple(tuple(float(v) for v in range(30)) for _ in "abcdef"))
+    batch = Batch(np.tile(np.arange(30, dtype=np.uint8)[:, None], 6), np.arange(30.0), np.zeros((30, 4)), np.arange(30), np.zeros(30, np.int32))
+    tasks = [TreeTask(Growth(), SplitRules(), lambda b, m: (m - b.y, None, m - b.y), tuple(range(6)), model=m) for m in range(4)]
+
+    class Table:
+        def mapInArrow(self, fold, schema):
+            return list(fold([batch.blocks()]))
+
+    sent = histtree.histogram(Table(), binning, tasks, [Tree() for _ in tasks], [[Pair(0)] for _ in tasks], with_fit=True)
+    assert sum(b.num_rows for b in sent) == 4 * 6 + 4  # the arrays and a fit per tree
+    assert max(sum(len(v.as_py()) for v in b.column(5)) for b in sent) < 4096 + 1024
