@@ -63,3 +63,16 @@ def test_arrays_of_a_task_leave_it_in_small_batches(monkeypatch):
     sent = histtree.histogram(Table(), binning, tasks, [Tree() for _ in tasks], [[Pair(0)] for _ in tasks], with_fit=True)
     assert sum(b.num_rows for b in sent) == 4 * 6 + 4  # the arrays and a fit per tree
     assert max(sum(len(v.as_py()) for v in b.column(5)) for b in sent) < 4096 + 1024
+
+
+def test_category_booster_runs_with_its_usual_settings(spark, sf_dir, monkeypatch):
+    seen = []
+
+    def stop(self, df, is_validation=None, start_from=None):
+        seen.append((self.trees, self.growth.max_depth, self.learning_rate, self.patience, self.max_bins))
+        raise Stop
+
+    monkeypatch.setattr(boost.Booster, "fit", stop)
+    with pytest.raises(Stop):
+        model_queries._category_boosted(spark, sf_dir)
+    assert seen == [(1000, 6, 0.05, 50, 255)]
