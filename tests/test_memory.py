@@ -76,3 +76,21 @@ def test_category_booster_runs_with_its_usual_settings(spark, sf_dir, monkeypatc
     with pytest.raises(Stop):
         model_queries._category_boosted(spark, sf_dir)
     assert seen == [(1000, 6, 0.05, 50, 255)]
+
+
+def test_all_models_run_with_their_usual_settings(spark, sf_dir, monkeypatch):
+    usual, seen = model_queries.default_regressors, []
+
+    def noted(columns, vector, label, trees=None, points=256):
+        seen.append((len(columns), trees, points))
+        return usual(columns, vector, label, trees, points)
+
+    def stop(regressors, *rest):
+        seen.append(len(regressors))
+        raise Stop
+
+    monkeypatch.setattr(model_queries, "default_regressors", noted)
+    monkeypatch.setattr(model_queries, "fit_all", stop)
+    with pytest.raises(Stop):
+        model_queries._all_models(spark, sf_dir)
+    assert seen == [(35, None, 256), 12]
